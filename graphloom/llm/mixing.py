@@ -106,11 +106,16 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), rounds:
         left = rows if k == 0 else rows.join(bounded(plan), "sid").where(~_chosen(k) & (F.col("_size") <= F.col(f"most_{k}"))).select(rows["sid"], "_size", "_hash")
         cut = _threshold(left, plan.select("sid", "budget"))
         plan = plan.join(bounded(cut), "sid", "left")
-        thr = F.coalesce("thr", F.lit(0))
-        if k == rounds - 1:  # the document at the edge, too, if that brings the words nearer
-            thr = thr + F.coalesce((F.col("edge") < 2 * (F.col("budget") - F.col("base"))).cast("long"), F.lit(0))
-        plan = save(plan.withColumns({f"thr_{k}": thr.cast("long"), "budget": F.col("budget") - F.coalesce("base", F.lit(0))}).drop("thr", "base", "edge"))
-    return plan
+        left_after = F.col("budget") - F.coalesce("base", F.lit(0))
+        plan = save(plan.withColumns({f"thr_{k}": F.coalesce("thr", F.lit(0)).cast("long"), f"over_{k}": F.col("edge") - left_after, "budget": left_after}).drop("thr", "base", "edge"))
+    # Stop with the document at a round's edge where that brings the words nearer than all rounds without.
+    overs = [f"over_{k}" for k in range(rounds)]
+    best = F.least(*[F.coalesce(F.col(c), F.lit(float("inf"))) for c in overs], F.lit(float("inf")))
+    stop = F.when(best < F.col("budget"), F.coalesce(*[F.when(F.col(c) == best, F.lit(k)) for k, c in enumerate(overs)]))
+    plan = plan.withColumn("stop", stop)
+    for k in range(rounds):
+        plan = plan.withColumn(f"thr_{k}", F.when(F.col("stop") == k, F.col(f"thr_{k}") + 1).when(F.col("stop") < k, 0).otherwise(F.col(f"thr_{k}")))
+    return save(plan.drop("stop", *overs))
 
 
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -146,22 +151,30 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _round_sql(k: int, last: bool) -> str:
-    """One filling round: c{k} has the cumulated words of the candidates, g{k} what is left after it."""
+def _round_sql(k: int) -> str:
+    """One filling round: c{k} has the cumulated words of the candidates, g{k} what is left after it and how far the edge is over."""
     fits = "" if k == 0 else f" JOIN g{k - 1} USING (sid) WHERE NOT d.chosen AND d.size <= floor(greatest(g{k - 1}.budget, 0))"
     rows = "SELECT d.* EXCLUDE (chosen) FROM d0 d" if k == 0 else f"SELECT d.* EXCLUDE (chosen) FROM d{k} d{fits}"
     budget = "(SELECT sid, budget FROM plan)" if k == 0 else f"g{k - 1}"
-    out = f"""c{k} AS (SELECT r.rid, r.sid, r.size, r.h, b.budget,
+    base = "coalesce(max(c.cum) FILTER (c.cum <= c.budget), 0)"
+    return f"""c{k} AS (SELECT r.rid, r.sid, r.size, r.h, b.budget,
       sum(r.size) OVER (PARTITION BY r.sid ORDER BY r.h)::BIGINT AS cum FROM ({rows}) r JOIN {budget} b USING (sid) WHERE r.size > 0),
-g{k} AS (SELECT b.sid, b.budget - coalesce(max(c.cum) FILTER (c.cum <= c.budget), 0) AS budget FROM {budget} b LEFT JOIN c{k} c USING (sid) GROUP BY b.sid, b.budget),
-e{k} AS (SELECT sid, min(cum) AS cum FROM c{k} WHERE cum > budget GROUP BY sid),
+g{k} AS (SELECT b.sid, b.budget - {base} AS budget, min(c.cum) FILTER (c.cum > c.budget) AS edge,
+      min(c.cum) FILTER (c.cum > c.budget) - {base} - (b.budget - {base}) AS over_by FROM {budget} b LEFT JOIN c{k} c USING (sid) GROUP BY b.sid, b.budget),
+d{k + 1} AS (SELECT d.* REPLACE (d.chosen OR t.rid IS NOT NULL AS chosen) FROM d{k} d LEFT JOIN (SELECT rid FROM c{k} WHERE cum <= budget) t USING (rid)),
 """
-    take = f"SELECT rid FROM c{k} WHERE cum <= budget"
-    if last:
-        take += f" UNION ALL SELECT c.rid FROM c{k} c JOIN e{k} e ON c.sid = e.sid AND c.cum = e.cum JOIN g{k} g ON g.sid = c.sid WHERE c.cum - (c.budget - g.budget) < 2 * g.budget"
-    return out + f"d{k + 1} AS (SELECT d.* REPLACE (d.chosen OR t.rid IS NOT NULL AS chosen) FROM d{k} d LEFT JOIN ({take}) t USING (rid)),\n"
 
 
+_LAST = ROUNDS - 1
+_OVERS = ", ".join(f"coalesce(g{k}.over_by, 'inf'::DOUBLE)" for k in range(ROUNDS))
+_STOP_SQL = f"""m AS (SELECT g0.sid, least({_OVERS}) AS best, g{_LAST}.budget AS short, {", ".join(f"g{k}.over_by AS over_{k}" for k in range(ROUNDS))}
+      FROM g0 {" ".join(f"JOIN g{k} ON g{k}.sid = g0.sid" for k in range(1, ROUNDS))}),
+st AS (SELECT sid, CASE WHEN best < short THEN CASE {" ".join(f"WHEN over_{k} = best THEN {k}" for k in range(ROUNDS))} END ELSE {ROUNDS} END AS stop FROM m),
+x AS ({" UNION ALL ".join(f"SELECT c.rid FROM c{k} c JOIN g{k} g USING (sid) JOIN st USING (sid) WHERE {k} <= st.stop AND (c.cum <= c.budget OR {k} = st.stop AND c.cum = g.edge)" for k in range(ROUNDS))})
+SELECT s.doc_id, s.size, p.source_size, p.target, s.size * (p.repeats + (x.rid IS NOT NULL)::INT)::BIGINT AS taken
+FROM s JOIN d0 USING (rid) JOIN plan p USING (sid) LEFT JOIN x USING (rid)
+"""
+
 OP1_SQL = (
     r"""
 WITH s AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -178,9 +191,6 @@ plan AS (SELECT source, sid, source_size, target, coalesce(floor(target / nullif
       target - coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT * source_size AS budget FROM t),
 d0 AS (SELECT s.rid, p.sid, s.size, s.h, false AS chosen FROM s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
 """
-    + "".join(_round_sql(k, k == ROUNDS - 1) for k in range(ROUNDS))
-    + f"""z AS (SELECT 1)
-SELECT s.doc_id, s.size, p.source_size, p.target, s.size * (p.repeats + d.chosen::INT)::BIGINT AS taken
-FROM s JOIN d{ROUNDS} d USING (rid) JOIN plan p USING (sid)
-"""
+    + "".join(_round_sql(k) for k in range(ROUNDS))
+    + _STOP_SQL
 )

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing
+from . import decontaminate, exact, mixing, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op3_decontamination": decontaminate.op3_decontamination,
+        "op6_token_output": tokenfile.op6_token_output,
         "op7_exact_dedup": exact.op7_exact_dedup,
     }
 
