@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, mixing, substrings, tokenfile
+from . import decontaminate, exact, mixing, simhash, substrings, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": decontaminate.op3_decontamination,
         "op6_token_output": tokenfile.op6_token_output,
         "op7_exact_dedup": exact.op7_exact_dedup,
+        "op8_simhash": simhash.op8_simhash,
         "op9_substring_dedup": substrings.op9_substring_dedup,
     }
 
