@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, mixing, simhash, substrings, tokenfile
+from . import decontaminate, exact, mixing, quality, simhash, substrings, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op6_token_output": tokenfile.op6_token_output,
         "op7_exact_dedup": exact.op7_exact_dedup,
         "op8_simhash": simhash.op8_simhash,
         "op9_substring_dedup": substrings.op9_substring_dedup,
+        "op10_quality": quality.op10_quality,
     }
 
 
