@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, mixing, quality, simhash, substrings, tokenfile, toxicity
+from . import decontaminate, exact, mixing, quality, simhash, substrings, suffixes, tokencounts, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": mixing.op1_mixing,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_decontamination": decontaminate.op3_decontamination,
+        "op4_token_counts": tokencounts.op4_token_counts,
+        "op5_suffix_dedup": suffixes.op5_suffix_dedup,
         "op6_token_output": tokenfile.op6_token_output,
         "op7_exact_dedup": exact.op7_exact_dedup,
         "op8_simhash": simhash.op8_simhash,

@@ -49,22 +49,20 @@ class _Chunk:
         self.length = left[np.searchsorted(left, at, "right")] - at
 
 
+def _count_out(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    for row, stripe, data in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([stripe], pa.int32()), pa.array([data], pa.binary())], names=["row", "stripe", "data"])
+
+
 def _count(window: int, gram: int, cells: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = Partial(cells)
-
-        def out(rows: list) -> pa.RecordBatch:
-            a, b, c = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["row", "stripe", "data"])
-
         for batch in batches:
             for _, _, raw, starts in tb.chunks(batch.column(0)):
                 c = _Chunk(raw, starts, window, gram)
                 _, once = np.unique(c.key ^ mixed(c.doc[c.at].astype(np.uint64)), return_index=True)
-                if rows := list(part.add(c.key[once])):
-                    yield out(rows)
-        if rows := list(part.out()):
-            yield out(rows)
+                yield from _count_out(part.add(c.key[once]))
+        yield from _count_out(part.out())
 
     return run
 

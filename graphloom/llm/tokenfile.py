@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import textbytes as tb
 from .common import bounded, pieces, save, scratch
 
 #: First bytes of a shard; ids in a block; ids after which a shard ends with its document.
@@ -123,24 +124,51 @@ class WordIds(dict):
     """A stretch without ASCII white space -> its token ids as bytes.
 
     Only for tokenizers that drop white space and never look over it. A text's ids are then those of its
-    stretches, and most stretches occur again and again. Forgets all beyond half a million.
+    stretches, and most stretches occur again and again. New ones are encoded together, a space between;
+    each token's offset tells whose it is.
     """
 
+    #: Stretches, and their bytes, beyond which all are forgotten; stretches encoded together.
+    MOST, MOST_BYTES, TOGETHER = 1_000_000, 32 << 20, 4096
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= 500_000:
+        self.tokenizer, self.size = Tokenizer.from_file(path), 0
+
+    def learn(self, words: list[bytes]) -> None:
+        for lo in range(0, len(words), self.TOGETHER):
+            some = words[lo : lo + self.TOGETHER]
+            texts = [w.decode() for w in some]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+            whose = np.searchsorted(ends, np.array([a for a, _ in found.offsets], np.int64), "right")
+            cut = (np.searchsorted(whose, np.arange(len(some) + 1)) * 4).tolist()
+            raw = np.array(found.ids, "<u4").tobytes()
+            for i, w in enumerate(some):
+                self[w] = raw[cut[i] : cut[i + 1]]
+        self.size += sum(map(len, words))
+
+    def learn_all(self, new: set[bytes]) -> None:
+        """Letters followed by marks are two pre-tokens, so their ids are those of the letters and of the marks."""
+        parts = {}
+        for w in new:
+            core = w.rstrip(b".,!?:;%#$&*|")
+            if core != w and core and (core.isalpha() or core.decode().isalpha()):
+                parts[w] = core, w[len(core) :]
+        self.learn(sorted(new.difference(parts).union(*parts.values()).difference(self)))
+        for w, (core, marks) in parts.items():
+            self[w] = self[core] + self[marks]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self) > self.MOST or self.size > self.MOST_BYTES:
             self.clear()
-        if len(word) <= 200:
-            self[word] = ids
-        return ids
-
-    def encode(self, raw: bytes) -> bytes:
-        return b"".join([b"".join(map(self.__getitem__, piece.split())) for piece in pieces(raw)])
+            self.size = 0
+        # The tokenizer lower-cases; only its special tokens' names, which have a "<|", are told apart by case.
+        split = [[p.split() for p in pieces(t if b"<|" in t else t.lower())] for t in texts]
+        if new := set().union(*(w for t in split for w in t)).difference(self):
+            self.learn_all(new)
+        return [b"".join([b"".join(map(self.__getitem__, w)) for w in t]) for t in split]
 
 
 @lru_cache(2)
@@ -170,13 +198,14 @@ def _shards(path: str, end_id: int) -> callable:
 
         for batch in batches:
             texts, first = batch.column(1), 0
-            for i in range(len(texts)):
-                held.append(words.encode(texts[i].as_buffer().to_pybytes()) + end)
-                size += len(held[-1])
-                if size >= SHARD_IDS * 4:
-                    names.append(batch.column(0).slice(first, i + 1 - first))
-                    first = i + 1
-                    yield shard()
+            for lo, hi, raw, starts in tb.chunks(texts, 1 << 20):
+                for i, ids in enumerate(words.encode([raw[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]), lo):
+                    held.append(ids + end)
+                    size += len(held[-1])
+                    if size >= SHARD_IDS * 4:
+                        names.append(batch.column(0).slice(first, i + 1 - first))
+                        first = i + 1
+                        yield shard()
             names.append(batch.column(0).slice(first))
         if held:
             yield shard()
