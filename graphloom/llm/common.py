@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, the only separators that the word operators know.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -50,17 +51,25 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def id_schema(kind: T.DataType, others: str) -> T.StructType:
+    """doc_id of that type, then the columns that `others` tells in DDL."""
+    return T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL(others).fields])
+
+
+def packed(docs: DataFrame, text_col: str = "text", **more: str) -> DataFrame:
+    """docs as _row, a struct of all columns, with its text (and more) besides: names in docs clash with nothing."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[f"`{text_col}`"].alias("text"), *[docs[f"`{c}`"].alias(k) for k, c in more.items()])
+
+
+def unpacked(df: DataFrame, row: str = "_row") -> DataFrame:
+    return df.select(*[F.col(row).getField(f.name).alias(f.name) for f in df.schema[row].dataType.fields])
+
+
 def bounded(saved: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """saved with a broadcast hint if it has at most so many rows; else as it is, so that the join shuffles."""
     return F.broadcast(saved) if saved.limit(rows + 1).count() <= rows else saved
 
 
-def at_most(df: DataFrame, rows: int) -> list | None:
-    """The rows of df if there are at most so many, else None."""
-    got = df.limit(rows + 1).collect()
-    return got if len(got) <= rows else None
-
-
 def pieces(raw: bytes) -> Iterator[bytes]:
     """raw in pieces of some MB that end between words."""
     at = 0
@@ -73,27 +82,6 @@ def pieces(raw: bytes) -> Iterator[bytes]:
     yield raw[at:] if at else raw
 
 
-class Hashes(dict):
-    """word -> a 64-bit hash, kept for words seen before; forgets all beyond a million."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def word_hashes(raw: bytes, known: Hashes) -> np.ndarray:
-    """A uint64 for each word of raw."""
-    parts = []
-    for piece in pieces(raw):
-        words = piece.split()
-        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

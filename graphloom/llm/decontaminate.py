@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .common import id_schema, packed, unpacked
 
 #: Bytes that are part of a word once A-Z are lower case: digits, letters, and all of UTF-8 beyond ASCII.
 IS_WORD = tb.word_table(word_ranges=[(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
@@ -240,8 +241,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             held = []
     blocks.append(spark.sparkContext.broadcast(Phrases(held, window)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_searched(blocks, 1), f"doc_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    return rows.mapInArrow(_searched(blocks, 1), id_schema(rows.schema["doc_id"].dataType, "n_words long, spans array<struct<start:long,end:long>>, items array<string>"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs in which no window of a test item occurs; columns as in docs, cases as in contamination."""
+    found = contamination(packed(docs, text_col), benchmark, id_col="_row")
+    return unpacked(found.where(F.size("spans") == 0), "doc_id")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

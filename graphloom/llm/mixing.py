@@ -96,7 +96,7 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), rounds:
     """
     sizes = save(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")))
     plan = targets(sizes, weights)
-    plan = plan.withColumn("repeats", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long"))
+    plan = plan.withColumn("repeats", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
     plan = save(plan.withColumn("budget", F.col("target") - F.col("repeats") * F.col("source_size")))
     rows = sized.join(bounded(plan), F.col("_source").eqNullSafe(F.col("source"))).select("sid", "_size", "_hash")
     rows = save(rows.where("_size > 0"))

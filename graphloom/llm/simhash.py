@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, pieces, save
+from .common import bounded, id_schema, packed, pieces, save, unpacked
 
 #: Words of a shingle; fingerprints link at so many differing bits or fewer.
 SHINGLE, DISTANCE = 4, 4
@@ -67,16 +67,15 @@ def _fingerprints(n: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.fromiter((fingerprint(t.as_buffer().to_pybytes(), n) for t in batch.column(1)), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out.view(np.int64))], names=["doc_id", "row", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for each row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, fp long")
+    """doc_id, row (a hash of id and text), fp (the fingerprint as a signed long) for each row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
+    return rows.mapInArrow(_fingerprints(shingle), id_schema(rows.schema[0].dataType, "row long, fp long"))
 
 
 def block_masks(rows: int, distance: int = DISTANCE) -> list[int]:
@@ -218,6 +217,37 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int) -> DataFrame:
+    """doc_id, row, fp, component_id for each row of docs."""
+    prints = save(fingerprints(docs, id_col, text_col, shingle))
+    classes = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = save(components(links(classes.select("fp"), distance)))
+    named = nodes.join(classes, nodes["node"] == classes["fp"]).select("node", "root", "least")
+    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = save(named.join(roots, "root").select(F.col("node").alias("fp"), "component_id", "root"))
+    of_class = save(classes.join(bounded(linked), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    return prints.join(bounded(of_class), "fp", "left")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One row of docs of each group that links join; columns as in docs, other cases as in simhash_dedup.
+
+    The row of the smallest id stays; among rows of that id (or if a group has none) that of the least hash of
+    id and text; of rows that repeat both, any one.
+    """
+    found = save(_grouped(docs, id_col, text_col, shingle, distance).select("doc_id", "row", "root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    stays = save(found.groupBy("root").agg(first).select(F.col("first.row").alias("row")))
+    goes = save(found.select("row").distinct().join(bounded(stays), "row", "left_anti"))
+    again = save(found.groupBy("row").count().where("count > 1").select("row").join(bounded(stays), "row", "left_semi"))
+    rows = packed(docs, text_col, id=id_col).withColumn("row", F.xxhash64("id", "text")).drop("id", "text")
+    rows = rows.join(bounded(goes), "row", "left_anti")
+    once = rows.join(bounded(again), "row", "left_anti")
+    if not again.isEmpty():
+        once = once.unionByName(rows.join(bounded(again), "row", "left_semi").groupBy("row").agg(F.first("_row").alias("_row")))
+    return unpacked(once)
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the least id that links reach).
 
@@ -227,14 +257,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the least unless a component has no other. An empty table gives an empty result; other
     columns are not looked at.
     """
-    prints = save(fingerprints(docs, id_col, text_col, shingle))
-    classes = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    nodes = save(components(links(classes.select("fp"), distance)))
-    named = nodes.join(classes, nodes["node"] == classes["fp"]).select("node", "root", "least")
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = save(named.join(roots, "root").select(F.col("node").alias("fp"), "component_id"))
-    of_class = save(classes.join(bounded(linked), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    out = prints.join(bounded(of_class), "fp", "left")
+    out = _grouped(docs, id_col, text_col, shingle, distance)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

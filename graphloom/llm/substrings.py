@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import bounded, grams, mixed, pieces, runs, save, sliding_min
+from .common import bounded, grams, id_schema, mixed, pieces, runs, save, sliding_min
 from .sketch import Full, Partial, cells_for, merged
 
 #: Words of a window, and of the grams of which each window picks one to be counted by.
@@ -198,8 +198,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     few = (spans.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_SPANS
     out = rows.join(bounded(spans) if few else spans, "row", "left")
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return out.select("text", "doc_id", "found").mapInArrow(_cut(window), f"doc_id {kind}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    return out.select("text", "doc_id", "found").mapInArrow(_cut(window), id_schema(rows.schema["doc_id"].dataType, "n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import textbytes as tb
-from .common import bounded, mixed, runs, save, sliding_min
+from .common import bounded, id_schema, mixed, runs, save, sliding_min
 from .sketch import Full, Partial, cells_for, merged
 from .substrings import BROADCAST_SPANS, LAST, _count_out
 
@@ -323,8 +323,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = save(again.groupBy("row").agg(F.collect_list(code).alias("found")))
     few = (spans.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_SPANS
     out = rows.join(bounded(spans) if few else spans, "row", "left")
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return out.select("text", "doc_id", "found").mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return out.select("text", "doc_id", "found").mapInArrow(_cut, id_schema(rows.schema["doc_id"].dataType, "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .common import id_schema
 
 #: Pre-tokens in a leaf at first, and the most before a tree is built anew.
 LEAF, MOST_LEAF = 32, 512
@@ -199,8 +200,7 @@ def token_counts(docs: DataFrame, ranks: str, pattern: str, edits: F.Column | No
     if edits is None:
         edits = F.lit(None).cast("array<struct<pos:long,n_delete:long,insert:string>>")
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"), edits.cast("array<struct<pos:long,n_delete:long,insert:string>>").alias("edits"))
-    kind = rows.schema[1].dataType.simpleString()
-    return rows.mapInArrow(_counted(ranks, pattern), f"doc_id {kind}, n_tokens long, n_pretokens long, n_tokens_edited long, n_chars_edited long, n_recounted long")
+    return rows.mapInArrow(_counted(ranks, pattern), id_schema(rows.schema[1].dataType, "n_tokens long, n_pretokens long, n_tokens_edited long, n_chars_edited long, n_recounted long"))
 
 
 def sample_edits(id_col: str = "doc_id", text_col: str = "text") -> F.Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import mixed
+from .common import id_schema, mixed
 from .labelled import MOST_PER_CLASS, Adam, class_weights, held_out, sample, sigmoid
 
 #: Bytes of words' beginnings that are terms besides the words; terms in the model; factors of each.
@@ -164,8 +164,7 @@ def _scored(model) -> callable:
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, score from 0 to 1 of its whole text. Null text counts as empty; an empty table gives none."""
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"))
-    kind = rows.schema[1].dataType.simpleString()
-    return rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, score double")
+    return rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), id_schema(rows.schema[1].dataType, "score double"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
