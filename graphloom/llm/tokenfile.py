@@ -7,6 +7,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import bounded, pieces, save, scratch
+from .common import bounded, mixed, runs, save, scratch
 
-#: First bytes of a shard; ids in a block; ids after which a shard ends with its document.
-MAGIC, BLOCK, SHARD_IDS = b"GLTK0001", 1024, 1 << 20
+#: First bytes of a shard; ids in a block; bytes of text in a shard, but for longer documents.
+MAGIC, BLOCK, SHARD_BYTES = b"GLTK0001", 1024, 4 << 20
 #: Share of a block's ids that must fit its width; those beyond are exceptions.
 PERCENTILES = (0.85, 0.95, 1.0)
 
@@ -120,55 +121,96 @@ def decode_shard(data: bytes, first: int = 0, last: int | None = None) -> tuple[
     return rows.ravel()[: max(0, n - first * BLOCK)], lengths
 
 
-class WordIds(dict):
-    """A stretch without ASCII white space -> its token ids as bytes.
+#: Marks that are a pre-token of their own where letters, digits or white space of ASCII stand on both sides.
+_MARKS = b".,!?:;%#$&*|"
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_KIND = np.full(256, 3, np.uint8)
+_KIND[list(b" \t\n\v\f\r0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = 0
+_KIND[list(_MARKS)] = 1
 
-    Only for tokenizers that drop white space and never look over it. A text's ids are then those of its
-    stretches, and most stretches occur again and again. New ones are encoded together, a space between;
-    each token's offset tells whose it is.
+
+class WordIds:
+    """Token ids of stretches of text: a table sorted by the stretches' hashes, and the library for new ones.
+
+    Only for tokenizers that lower-case, drop white space, and take letters, digits and runs of other signs
+    apart before they merge. A text's ids are then those of its stretches, and most of them occur again and
+    again. New ones are encoded together, a space between; each token's offset tells whose it is.
     """
 
-    #: Stretches, and their bytes, beyond which all are forgotten; stretches encoded together.
-    MOST, MOST_BYTES, TOGETHER = 1_000_000, 32 << 20, 4096
+    #: Stretches beyond which all are forgotten; stretches encoded together; bytes of one that is told apart by place.
+    MOST, TOGETHER, LONG = 2_000_000, 4096, 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.size = Tokenizer.from_file(path), 0
-
-    def learn(self, words: list[bytes]) -> None:
-        for lo in range(0, len(words), self.TOGETHER):
-            some = words[lo : lo + self.TOGETHER]
-            texts = [w.decode() for w in some]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash, self.at, self.n, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, count of each). Of words of ASCII letters, one pre-token each, just the merges are left to do."""
+        merge = self.tokenizer.model.tokenize
+        plain = [w.isalpha() for w in words]
+        ids: list = [[t.id for t in merge(w.decode())] if p else None for w, p in zip(words, plain, strict=True)]
+        rest = [i for i, p in enumerate(plain) if not p]
+        for lo in range(0, len(rest), self.TOGETHER):
+            some = rest[lo : lo + self.TOGETHER]
+            texts = [words[i].decode() for i in some]
             found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-            whose = np.searchsorted(ends, np.array([a for a, _ in found.offsets], np.int64), "right")
-            cut = (np.searchsorted(whose, np.arange(len(some) + 1)) * 4).tolist()
-            raw = np.array(found.ids, "<u4").tobytes()
-            for i, w in enumerate(some):
-                self[w] = raw[cut[i] : cut[i + 1]]
-        self.size += sum(map(len, words))
-
-    def learn_all(self, new: set[bytes]) -> None:
-        """Letters followed by marks are two pre-tokens, so their ids are those of the letters and of the marks."""
-        parts = {}
-        for w in new:
-            core = w.rstrip(b".,!?:;%#$&*|")
-            if core != w and core and (core.isalpha() or core.decode().isalpha()):
-                parts[w] = core, w[len(core) :]
-        self.learn(sorted(new.difference(parts).union(*parts.values()).difference(self)))
-        for w, (core, marks) in parts.items():
-            self[w] = self[core] + self[marks]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self) > self.MOST or self.size > self.MOST_BYTES:
-            self.clear()
-            self.size = 0
+            first = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            cut = np.searchsorted(np.searchsorted(ends, first, "right"), np.arange(len(some) + 1)).tolist()
+            all_ids = found.ids
+            for i, x, y in zip(some, cut, cut[1:], strict=False):
+                ids[i] = all_ids[x:y]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+
+    def encode(self, raw: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, count of each text) of texts that lie one after another in raw, each with end_id appended.
+
+        The stretches that differ are looked up once, and numpy puts the ids of all in place. They are told
+        apart by 64 bits of hash.
+        """
         # The tokenizer lower-cases; only its special tokens' names, which have a "<|", are told apart by case.
-        split = [[p.split() for p in pieces(t if b"<|" in t else t.lower())] for t in texts]
-        if new := set().union(*(w for t in split for w in t)).difference(self):
-            self.learn_all(new)
-        return [b"".join([b"".join(map(self.__getitem__, w)) for w in t]) for t in split]
+        low = _LOWER[raw]
+        for at in np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124)).tolist() if len(raw) else ():
+            k = int(np.searchsorted(starts, at, "right"))
+            low[starts[k - 1] : starts[k]] = raw[starts[k - 1] : starts[k]]
+        kind = np.concatenate((np.zeros(1, np.uint8), _KIND[raw], np.zeros(1, np.uint8)))
+        a, b = runs(kind == 1)
+        apart = (kind[a - 1] == 0) & (kind[b] == 0)
+        cuts = np.union1d(starts, np.concatenate((a[apart] - 1, b[apart] - 1)))
+        h, s, e = tb.words(low, cuts)
+        doc = np.searchsorted(starts, s, "right") - 1
+        long = e - s > self.LONG
+        h[long] = mixed(s[long].astype(np.uint64))
+        u, first, of = np.unique(h, return_index=True, return_inverse=True)
+        near = np.minimum(np.searchsorted(self.hash, u), max(0, len(self.hash) - 1))
+        known = self.hash[near] == u if len(self.hash) else np.zeros(len(u), bool)
+        known &= ~long[first]
+        new = np.flatnonzero(~known)
+        text = low.tobytes()
+        ids, counts = self.learn([text[x:y] for x, y in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)])
+        flat = np.concatenate((self.flat, ids))
+        at, each = np.empty(len(u), np.int64), np.empty(len(u), np.int64)
+        at[known], each[known] = self.at[near[known]], self.n[near[known]]
+        at[new], each[new] = len(self.flat) + np.cumsum(counts) - counts, counts
+        keep = new[~long[first[new]]]
+        order = np.argsort(np.concatenate((self.hash, u[keep])), kind="stable")
+        self.hash, self.at, self.n = (np.concatenate(x)[order] for x in ((self.hash, u[keep]), (self.at, at[keep]), (self.n, each[keep])))
+        self.flat = flat
+        if len(self.hash) > self.MOST or len(flat) > 8 * self.MOST:
+            self.forget()
+        n = each[of]
+        lengths = np.bincount(doc, n, len(starts) - 1).astype(np.int64) + 1
+        out = np.full(int(lengths.sum()), end_id, np.uint32)
+        place = np.arange(int(n.sum()))
+        out[place + np.repeat(doc, n)] = flat[place + np.repeat(at[of] - (np.cumsum(n) - n), n)]
+        return out, lengths
 
 
 @lru_cache(2)
@@ -182,33 +224,12 @@ def _shards(path: str, end_id: int) -> callable:
 
         part, before = TaskContext.get().partitionId(), 0
         words = encoder(path)
-        end = np.array([end_id], "<u4").tobytes()
-        held: list[bytes] = []
-        names: list[pa.Array] = []
-        size = 0
-
-        def shard() -> pa.RecordBatch:
-            nonlocal before, size
-            data = encode_shard(np.frombuffer(b"".join(held), "<u4"), np.array([len(x) // 4 for x in held]))
-            ids = pa.concat_arrays(names)
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before]), pa.array([size // 4]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([data], pa.binary())], names=["part", "before", "n_ids", "docs", "data"])
-            held.clear(), names.clear()
-            before, size = before + size // 4, 0
-            return out
-
         for batch in batches:
-            texts, first = batch.column(1), 0
-            for lo, hi, raw, starts in tb.chunks(texts, 1 << 20):
-                for i, ids in enumerate(words.encode([raw[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]), lo):
-                    held.append(ids + end)
-                    size += len(held[-1])
-                    if size >= SHARD_IDS * 4:
-                        names.append(batch.column(0).slice(first, i + 1 - first))
-                        first = i + 1
-                        yield shard()
-            names.append(batch.column(0).slice(first))
-        if held:
-            yield shard()
+            for lo, hi, raw, starts in tb.chunks(batch.column(1), SHARD_BYTES):
+                ids, lengths = words.encode(raw, starts, end_id)
+                names = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before]), pa.array([len(ids)]), names, pa.array([encode_shard(ids, lengths)], pa.binary())], names=["part", "before", "n_ids", "docs", "data"])
+                before += len(ids)
 
     return run
 
@@ -218,7 +239,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
 
     Rows are dealt by ranges of (id, hash of the text), so that many rows of one id don't meet in a task, and
     sorted within each; rows that repeat an id follow each other in order of that hash. A task writes its rows as
-    shards of about SHARD_IDS ids, one after another; a document never spans two shards. Each shard is one
+    shards of about SHARD_BYTES of text, one after another; a document never spans two shards. Each shard is one
     binary value (see encode_shard) in a row with its part, the ids before it there, its count of ids and its
     documents' ids: Spark's Parquet writer commits or drops a task's rows as a whole, on any file system that Spark
     knows. Null text counts as empty: such a document is just the end id. An empty table gives a folder without shards.
