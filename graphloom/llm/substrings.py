@@ -23,7 +23,7 @@ HELD = 3_000_000
 #: Ids that count as larger than any other.
 LAST = (1 << 63) - 1
 #: Spans, in all, of the rows that are broadcast.
-BROADCAST_SPANS = 4_000_000
+BROADCAST_SPANS = 100_000
 
 
 class _Chunk:
