@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import textbytes as tb
-from .common import bounded, id_schema, mixed, runs, save, sliding_min
+from .common import bounded, id_schema, mixed, runs, save, sliding_min, small_batches
 from .sketch import Full, Partial, cells_for, merged
 from .substrings import BROADCAST_SPANS, LAST, _count_out
 
@@ -243,13 +243,19 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(sa):
             low = np.minimum.reduceat(least_id[content[sa]], at)
             least[sa] = low[np.cumsum(np.concatenate(([False], group[1:] != group[:-1])))]
-        out_row, out_pos, out_len = [], [], []
-        for c, i, (_, row, pos) in zip(of.tolist(), ids.tolist(), rows[:n], strict=True):
-            a, b = runs(least[start[c] : start[c] + size[c] - LENGTH + 1] < i)
-            out_row += [row] * len(a)
-            out_pos += (a + pos).tolist()
-            out_len += (b - a).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(out_row, pa.int64()), pa.array(out_pos, pa.int64()), pa.array(out_len, pa.int32())], names=["row", "pos", "len"])
+        # The strings of every passage, one after another: those that a smaller id has, as runs.
+        many = size[of] - LENGTH + 1
+        first = np.cumsum(many) - many
+        mine = np.repeat(np.arange(n), many)
+        within = np.arange(int(many.sum())) - first[mine]
+        hit = least[start[of][mine] + within] < ids[mine]
+        before = np.concatenate(([False], hit[:-1]))
+        before[first] = False
+        after = np.concatenate((hit[1:], [False]))
+        after[first[1:] - 1] = False
+        a, b = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after) + 1
+        row, pos = (np.array([r[k] for r in rows[:n]], np.int64) for k in (1, 2))
+        return pa.RecordBatch.from_arrays([pa.array(row[mine[a]]), pa.array(pos[mine[a]] + within[a]), pa.array((b - a).astype(np.int32))], names=["row", "pos", "len"])
 
     size = 0
     for batch in batches:
@@ -304,6 +310,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null texts have no bytes. A null id counts as larger than any other; rows of one id, null included, don't
     take bytes from each other. An empty table gives an empty result; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     rows = docs.select(text.alias("text"), key.alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("doc_id"))
