@@ -33,6 +33,14 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Spark hand rows to Python by the thousand at most: rows here are whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def save(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 

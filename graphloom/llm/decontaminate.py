@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import id_schema, packed, unpacked
+from .common import id_schema, packed, small_batches, unpacked
 
 #: Bytes that are part of a word once A-Z are lower case: digits, letters, and all of UTF-8 beyond ASCII.
 IS_WORD = tb.word_table(word_ranges=[(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
@@ -233,6 +233,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     executors in blocks of at most BLOCK_ITEMS items; documents are read once, and nothing is shuffled.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     blocks, held = [], []
     for row in benchmark.select(item_col, item_text_col).toLocalIterator():
         held.append((row[0], row[1]))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, small_batches
 
 #: Labelled rows of each class that a fit takes at most, about.
 MOST_PER_CLASS = 6000
@@ -23,6 +23,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id
     Rows are picked by a hash of their ids, from labelled rows that aren't held out; ids with contrary or
     null labels are left out. The picked ids are few by construction, so they are broadcast.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(~held_out("id")).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("id", "y")
     known = save(known)

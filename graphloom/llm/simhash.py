@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, id_schema, packed, pieces, save, unpacked
+from .common import bounded, id_schema, packed, pieces, save, small_batches, unpacked
 
 #: Words of a shingle; fingerprints link at so many differing bits or fewer.
 SHINGLE, DISTANCE = 4, 4
@@ -74,6 +74,7 @@ def _fingerprints(n: int) -> callable:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, row (a hash of id and text), fp (the fingerprint as a signed long) for each row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
     return rows.mapInArrow(_fingerprints(shingle), id_schema(rows.schema[0].dataType, "row long, fp long"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import bounded, grams, id_schema, mixed, pieces, runs, save, sliding_min
+from .common import bounded, grams, id_schema, mixed, pieces, runs, save, sliding_min, small_batches
 from .sketch import Full, Partial, cells_for, merged
 
 #: Words of a window, and of the grams of which each window picks one to be counted by.
@@ -183,6 +183,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an empty result; other columns are not looked at. The sketch has `cells` cells a row, by default as many as
     the plan's size asks for, up to a bound; past it more windows are grouped, with the same result.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     rows = docs.select(text.alias("text"), key.alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("doc_id"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import id_schema
+from .common import id_schema, small_batches
 
 #: Pre-tokens in a leaf at first, and the most before a tree is built anew.
 LEAF, MOST_LEAF = 32, 512
@@ -197,6 +197,7 @@ def token_counts(docs: DataFrame, ranks: str, pattern: str, edits: F.Column | No
     texts count as empty, null edits, and null parts of one, as none. Rows are independent: repeated ids don't matter. An
     empty table gives an empty result; other columns are not looked at. Nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     if edits is None:
         edits = F.lit(None).cast("array<struct<pos:long,n_delete:long,insert:string>>")
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"), edits.cast("array<struct<pos:long,n_delete:long,insert:string>>").alias("edits"))

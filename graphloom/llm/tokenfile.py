@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import bounded, mixed, runs, save, scratch
+from .common import bounded, mixed, runs, save, scratch, small_batches
 
 #: First bytes of a shard; ids in a block; bytes of text in a shard, but for longer documents.
 MAGIC, BLOCK, SHARD_BYTES = b"GLTK0001", 1024, 4 << 20
@@ -246,6 +246,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     Other columns are not written.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

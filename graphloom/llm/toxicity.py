@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import id_schema, mixed
+from .common import id_schema, mixed, small_batches
 from .labelled import MOST_PER_CLASS, Adam, class_weights, held_out, sample, sigmoid
 
 #: Bytes of words' beginnings that are terms besides the words; terms in the model; factors of each.
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 def _scored(model) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.value.score(raw, starts) for _, _, raw, starts in tb.chunks(batch.column(0))]
+            parts = [model.value.score(raw, starts) for _, _, raw, starts in tb.chunks(batch.column(0), tb.SLICE)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.concatenate(parts) if parts else np.empty(0))], names=["doc_id", "score"])
 
     return run
@@ -163,6 +163,7 @@ def _scored(model) -> callable:
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, score from 0 to 1 of its whole text. Null text counts as empty; an empty table gives none."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"))
     return rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), id_schema(rows.schema[1].dataType, "score double"))
 
