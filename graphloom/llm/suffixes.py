@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import textbytes as tb
-from .common import bounded, id_schema, mixed, runs, save, sliding_min, small_batches
+from .common import bounded, free, id_schema, mixed, runs, save, sliding_min, small_batches
 from .sketch import Full, Partial, cells_for, merged
 from .substrings import BROADCAST_SPANS, LAST, _count_out
 
@@ -228,21 +228,27 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.array([r[0] for r in rows[:n]], np.int64)
         least_id = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least_id, of, ids)
-        text = np.frombuffer(b"".join(number), np.uint8)
-        size = np.fromiter(map(len, number), np.int64, len(number))
+        contents = list(number)
+        size = np.fromiter(map(len, contents), np.int64, len(contents))
         start = np.cumsum(size) - size
-        content = np.repeat(np.arange(len(number)), size)
-        whole = np.arange(len(text)) - start[content] <= size[content] - LENGTH
+        least = np.repeat(least_id, size)
+        # Passages are sorted with those of their gram that differ; one that differs from no other is its own neighbour.
+        gram = np.empty(len(contents), np.int64)
+        gram[of] = np.array(keys[:n], np.int64)
+        _, group_of, many = np.unique(gram, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(many[group_of] > 1)
+        text = np.frombuffer(b"".join([contents[i] for i in some.tolist()]), np.uint8)
+        content = np.repeat(some, size[some])
+        offset = np.arange(len(text)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
         sa, same = suffix_array(text)
         # Neighbours that share LENGTH bytes form groups; those that go over a passage's end don't count.
         group = np.cumsum(~same)
-        counts = whole[sa]
+        counts = offset[sa] <= size[content[sa]] - LENGTH
         sa, group = sa[counts], group[counts]
-        at = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(sa) else np.empty(0, np.int64)
-        least = np.empty(len(text), np.int64)
         if len(sa):
-            low = np.minimum.reduceat(least_id[content[sa]], at)
-            least[sa] = low[np.cumsum(np.concatenate(([False], group[1:] != group[:-1])))]
+            new = np.concatenate(([True], group[1:] != group[:-1]))
+            low = np.minimum.reduceat(least_id[content[sa]], np.flatnonzero(new))
+            least[start[content[sa]] + offset[sa]] = low[np.cumsum(new) - 1]
         # The strings of every passage, one after another: those that a smaller id has, as runs.
         many = size[of] - LENGTH + 1
         first = np.cumsum(many) - many
@@ -316,6 +322,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(text.alias("text"), key.alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("doc_id"))
     cells = cells or cells_for(docs, CELLS_PER_BYTE)
     full = merged(rows.select("text").mapInArrow(_count(cells), "row int, stripe int, data binary"), cells)
+    free(docs.sparkSession)
 
     found = save(rows.select("text", "id", "row").mapInArrow(_passages(full), _FOUND))
     passages = found.where("kind = 0")
@@ -328,6 +335,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = again.unionByName(found.where("kind = 1").select("row", "pos", "len"))
     code = F.shiftleft(F.col("pos"), 32) + F.col("len")
     spans = save(again.groupBy("row").agg(F.collect_list(code).alias("found")))
+    del found, passages, again
+    free(docs.sparkSession)
     few = (spans.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_SPANS
     out = rows.join(bounded(spans) if few else spans, "row", "left")
     return out.select("text", "doc_id", "found").mapInArrow(_cut, id_schema(rows.schema["doc_id"].dataType, "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"))
