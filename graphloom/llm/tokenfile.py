@@ -151,10 +151,10 @@ class WordIds:
         self.hash, self.at, self.n, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, count of each). Of words of ASCII letters, one pre-token each, just the merges are left to do."""
+        """(ids of all words, count of each). Of words of ASCII letters, one pre-token each, just the case and the merges are left to do."""
         merge = self.tokenizer.model.tokenize
         plain = [w.isalpha() for w in words]
-        ids: list = [[t.id for t in merge(w.decode())] if p else None for w, p in zip(words, plain, strict=True)]
+        ids: list = [[t.id for t in merge(w.lower().decode())] if p else None for w, p in zip(words, plain, strict=True)]
         rest = [i for i, p in enumerate(plain) if not p]
         for lo in range(0, len(rest), self.TOGETHER):
             some = rest[lo : lo + self.TOGETHER]

@@ -119,6 +119,19 @@ def test_token_output(spark, request, which, monkeypatch):
     assert [key((r.doc_id, 0)) for r in got] == [key(r) for r in rows]
 
 
+def test_token_output_case(spark):
+    """Case is kept around special tokens' names; the plain words of such texts are lower-cased all the same."""
+    from tokenizers import Tokenizer
+
+    texts = ["Hello <|endoftext|> World", "The CAT sat", "x<|ENDOFTEXT|>Y The <|startoftext|>The", "If (A <|b) Then Ünder STRASSE"]
+    t = Tokenizer.from_file(tokenfile.default_tokenizer())
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    got = tokenfile.token_output(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenfile.default_tokenizer()).collect()
+    want = [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)]
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    assert [r.start for r in sorted(got, key=lambda r: r.doc_id)] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
+
+
 def test_shard_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 1023, 1024, 1025, 5000):
