@@ -2,6 +2,8 @@
 
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import tuples
 
@@ -32,3 +34,18 @@ def test_odd(spark, odd, none, docs, module):
         assert all(0 <= r.score <= 1 for r in rows)
     empty = module.fit(docs, labels.limit(0))
     assert toxicity.score(odd, empty).count() == odd.count()
+
+
+def test_all_passages(spark):
+    """A fit looks at every passage of a document, and thins out whole rows only."""
+    text = "".join(f"Passage {i} has words of its own. " * 18 for i in range(100))
+    batch = pa.RecordBatch.from_arrays([pa.array([text, "short"]), pa.array([1, 0], pa.int32())], names=["text", "y"])
+    want, first = quality.passages(np.frombuffer((text + "short").encode(), np.uint8), np.array([0, len(text), len(text) + 5]))
+    got = [np.frombuffer(b["bag"][0].as_py(), np.float32).reshape(-1, quality.N_FEATURES) for b in quality._bags(iter([batch]))]
+    assert [len(b) for b in got] == np.diff(first).tolist() and len(got[0]) > 90
+    assert (np.concatenate(got) == want.astype(np.float32)).all()
+    rows = spark.createDataFrame([(f"{i} " + text, i % 2) for i in range(40)], "text string, y int")
+    all_rows = {tuple(r) for r in rows.collect()}
+    assert quality.thinned(rows, 10**6).count() == 40
+    some = {tuple(r) for r in quality.thinned(rows, 2000).collect()}
+    assert some < all_rows and 5 <= len(some) <= 35
