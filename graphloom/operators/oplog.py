@@ -117,13 +117,36 @@ def advance(peers: DataFrame, seen: DataFrame) -> DataFrame:
     return peers.join(s, "peer_id", "left").withColumn("clock", clocks.merge("clock", "_seen")).withColumn("status", F.lit("idle")).drop("_seen")
 
 
+def numbered(peers: DataFrame, buckets: int = 1024) -> DataFrame:
+    """peer_id and number, from 0 without gaps: within buckets by hash, each after the buckets before. Equal ids count once."""
+    known = peers.select("peer_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("peer_id"), F.lit(buckets)))
+    sizes = known.groupBy("bucket").count()
+    # As many rows as buckets at most.
+    base = sizes.select("bucket", (F.sum("count").over(Window.orderBy("bucket")) - F.col("count")).alias("base"))
+    within = F.row_number().over(Window.partitionBy("bucket").orderBy("peer_id"))
+    return known.withColumn("n", within).join(F.broadcast(base), "bucket").select("peer_id", (F.col("base") + F.col("n") - 1).alias("number"))
+
+
 def fanout(messages: DataFrame, peers: DataFrame, n: int = 3, seed: int = 0) -> DataFrame:
-    """msg_id, peer_id: each message to at most n peers, chosen by a hash of both."""
-    order = F.xxhash64(F.col("msg_id"), F.col("peer_id"), F.lit(seed))
-    by_message = Window.partitionBy("msg_id").orderBy(order, "peer_id")
-    # A few peers, of which each message takes some: peers are the small, bounded side.
-    pairs = messages.select("msg_id").join(F.broadcast(peers.select("peer_id").limit(10_000)), F.lit(True))
-    return pairs.withColumn("n", F.row_number().over(by_message)).where(F.col("n") <= n).select("msg_id", "peer_id")
+    """msg_id, peer_id: each message to n peers, or to all if they are fewer, chosen by hashes of the message.
+
+    Peers are numbered, and a message draws n different numbers (Floyd's way), so every set of peers is as likely
+    and no message meets all peers. Peers are broadcast if few; their count is not bounded.
+    """
+    total = peers.select("peer_id").distinct().count()
+    take = max(0, min(n, total))
+    drawn = F.array().cast("array<bigint>")
+    for top in range(total - take, total):
+        pick = F.pmod(F.xxhash64(F.col("msg_id"), F.lit(seed), F.lit(top - total)), F.lit(top + 1)).cast("long")
+        drawn = _with_one(drawn, pick, top)
+    pairs = messages.select("msg_id").distinct().select("msg_id", F.explode(drawn).alias("number"))
+    known = numbered(peers)
+    return pairs.join(F.broadcast(known) if total <= 10_000 else known, "number").select("msg_id", "peer_id")
+
+
+def _with_one(drawn: Column, pick: Column, top: int) -> Column:
+    """drawn with pick, or with top if pick is in it."""
+    return F.transform(F.array(F.struct(drawn.alias("d"), pick.alias("p"))), lambda x: F.concat(x["d"], F.array(F.when(F.array_contains(x["d"], x["p"]), F.lit(top).cast("long")).otherwise(x["p"]))))[0]
 
 
 def collected(tombstones: DataFrame, now: Column) -> DataFrame:

@@ -198,3 +198,19 @@ def test_without_the_training_data_operators():
     import __spark_entry__ as entry
 
     assert len(entry.queries()) > 100 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(("n_peers", "n"), [(12_000, 3), (7, 3), (2, 3), (0, 3), (5, 0)])
+def test_fanout_reaches_all_peers(spark, n_peers, n):
+    """Each message goes to n different peers, and no peer is left out however many there are."""
+    n_messages = 50_000 if n_peers > 7 else 200
+    messages = spark.range(n_messages).withColumnRenamed("id", "msg_id")
+    peers = spark.range(n_peers).select(F.concat(F.lit("peer"), "id").alias("peer_id"))
+    rows = [tuple(r) for r in oplog.fanout(messages, peers, n).collect()]
+    take = min(n, n_peers)
+    assert len(rows) == len(set(rows)) == n_messages * take
+    reached = {p for _, p in rows}
+    assert reached <= {f"peer{i}" for i in range(n_peers)}
+    # A peer of 12,000 is missed by 150,000 draws with a chance of e ** -12.5.
+    assert len(reached) >= (n_peers - 3 if take else 0)
+    assert sorted(rows) == sorted(tuple(r) for r in oplog.fanout(messages, peers, n).collect())
