@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -43,14 +41,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def free(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of frames that nothing refers to any more; else that waits for the driver's next full collection."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def save(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 

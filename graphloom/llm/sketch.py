@@ -125,6 +125,24 @@ class Full:
         return out
 
 
+def members(keys: DataFrame):
+    """keys (key long, saved) -> a broadcast Full that has all of them, and few others: 16 cells a row for each, up to MOST_CELLS."""
+    cells = min(MOST_CELLS, max(1 << 16, 1 << int(keys.count() * 16).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = Partial(cells)
+        for batch in batches:
+            yield from partial_rows(part.add(np.repeat(batch.column(0).to_numpy().view(np.uint64), 2)))
+        yield from partial_rows(part.out())
+
+    return merged(keys.select("key").mapInArrow(run, "row int, stripe int, data binary"), cells)
+
+
+def partial_rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    for row, stripe, data in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([stripe], pa.int32()), pa.array([data], pa.binary())], names=["row", "stripe", "data"])
+
+
 def merged(partials: DataFrame, cells: int):
     """partials (row, stripe, data) of all tasks -> a broadcast Full. Its size is bounded by cells."""
     spark = partials.sparkSession

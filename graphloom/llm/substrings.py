@@ -7,30 +7,26 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import bounded, grams, id_schema, mixed, pieces, runs, save, sliding_min, small_batches
-from .sketch import Full, Partial, cells_for, merged
+from .common import grams, id_schema, mixed, pieces, runs, save, sliding_min, small_batches
+from .sketch import Full, Partial, cells_for, members, merged, partial_rows
+from .stretches import References, decided, digests, keyed, reference_schema, with_spans
 
 #: Words of a window, and of the grams of which each window picks one to be counted by.
 WINDOW, GRAM = 13, 5
 #: Cells of the sketch for each byte that the plan expects to read.
 CELLS_PER_BYTE = 0.2
-#: Windows that a task combines at a time.
-HELD = 3_000_000
-#: Ids that count as larger than any other.
-LAST = (1 << 63) - 1
-#: Spans, in all, of the rows that are broadcast.
-BROADCAST_SPANS = 100_000
 
 
 class _Chunk:
     """Windows of some rows' texts: each by the least hash of its grams."""
 
     def __init__(self, raw: np.ndarray, starts: np.ndarray, window: int, gram: int):
-        self.hash, start, _ = tb.words(raw, starts)
+        self.hash, start, end = tb.words(raw, starts)
+        self.size = end - start
         self.doc = np.searchsorted(starts, start, "right") - 1
         n = len(self.hash) - window + 1
         self.first = np.searchsorted(self.doc, np.arange(len(starts)))
@@ -49,11 +45,6 @@ class _Chunk:
         self.length = left[np.searchsorted(left, at, "right")] - at
 
 
-def _count_out(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    for row, stripe, data in rows:
-        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([stripe], pa.int32()), pa.array([data], pa.binary())], names=["row", "stripe", "data"])
-
-
 def _count(window: int, gram: int, cells: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = Partial(cells)
@@ -61,81 +52,59 @@ def _count(window: int, gram: int, cells: int) -> callable:
             for _, _, raw, starts in tb.chunks(batch.column(0)):
                 c = _Chunk(raw, starts, window, gram)
                 _, once = np.unique(c.key ^ mixed(c.doc[c.at].astype(np.uint64)), return_index=True)
-                yield from _count_out(part.add(c.key[once]))
-        yield from _count_out(part.out())
+                yield from partial_rows(part.add(c.key[once]))
+        yield from partial_rows(part.out())
 
     return run
 
 
-_FOUND = "kind int, k1 long, k2 int, id long, row long, pos int, len int"
+def _contents(c: _Chunk, raw: np.ndarray, starts: np.ndarray, at: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """A digest of the n_words words from each of `at` on, one space between."""
+    text, cut = raw.tobytes(), starts.tolist()
+    plain = b" ".join([b" ".join(words) for a, b in zip(cut, cut[1:], strict=False) if (words := text[a:b].split())])
+    end = np.cumsum(c.size + 1) - 1
+    return digests([plain[a:b] for a, b in zip((end - c.size)[at].tolist(), end[at + n_words - 1].tolist(), strict=True)])
 
 
-def _found(kind: int, k1, k2, ids, row, pos, length) -> pa.RecordBatch:
-    n = len(pos)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.astype(np.int32)), pa.array(ids), pa.array(row), pa.array(pos.astype(np.int32)), pa.array(length.astype(np.int32))], names=[x.split()[0] for x in _FOUND.split(", ")])
+def _runs(window: int, gram: int, full) -> callable:
+    """Runs of windows whose least gram may be repeated, as references."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch: Full = full.value
+        held = References(by_key=True)
+        for batch in batches:
+            rows = batch.column(2).to_numpy()
+            for lo, hi, raw, starts in tb.chunks(batch.column(0)):
+                c = _Chunk(raw, starts, window, gram)
+                keep = np.flatnonzero(sketch.repeated(c.key))
+                at, length = c.at[keep], c.length[keep]
+                doc = c.doc[at]
+                yield from held.add(batch.column(1).slice(lo, hi - lo), rows[lo:hi], doc, c.key[keep], _contents(c, raw, starts, at, length + window - 1), at - c.first[doc], length)
+        yield from held.out()
 
-def _combined(k1, k2, ids, row, pos) -> Iterator[pa.RecordBatch]:
-    """Of windows with equal words within a task those of the smallest id go on; the others are known to be repeats."""
-    order = np.lexsort((ids, k1))
-    a, b, i = k1[order], k2[order], ids[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    least = i[np.flatnonzero(new)][np.cumsum(new) - 1]
-    covered = np.zeros(len(order), bool)
-    covered[order] = i > least
-    go = np.flatnonzero(~covered)
-    for lo in range(0, len(go), 200_000):
-        x = go[lo : lo + 200_000]
-        yield _found(0, k1[x], k2[x], ids[x], row[x], pos[x], np.ones(len(x), np.int32))
-    # Rows are in the order of the text: neighbours become runs.
-    at = np.flatnonzero(covered)
-    if len(at):
-        start = np.ones(len(at), bool)
-        start[1:] = (row[at[1:]] != row[at[:-1]]) | (pos[at[1:]] != pos[at[:-1]] + 1)
-        s = np.flatnonzero(start)
-        x, length = at[s], np.diff(np.append(s, len(at)))
-        yield _found(1, row[x].view(np.uint64), np.zeros(len(x), np.int32), ids[x], row[x], pos[x], length)
+    return run
 
 
-def _windows(window: int, gram: int, full) -> callable:
+def _windows(window: int, gram: int, several) -> callable:
+    """Single windows whose least gram has several contents, as references."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch: Full = full.value
-        held: list[tuple] = []
-        size = 0
+        sketch: Full = several.value
+        held = References(by_key=False)
         for batch in batches:
-            ids, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-            for lo, _, raw, starts in tb.chunks(batch.column(0)):
+            rows = batch.column(2).to_numpy()
+            for lo, hi, raw, starts in tb.chunks(batch.column(0)):
                 c = _Chunk(raw, starts, window, gram)
                 keep = np.flatnonzero(sketch.repeated(c.key))
                 length = c.length[keep]
                 at = np.repeat(c.at[keep], length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-                if not len(at):
-                    continue
-                k1, k2 = _keys(c.hash, at, window)
-                doc = c.doc[at]
-                held.append((k1, k2, ids[lo + doc], rows[lo + doc], at - c.first[doc]))
-                size += len(at)
-                if size >= HELD:
-                    yield from _combined(*map(np.concatenate, zip(*held, strict=True)))
-                    held, size = [], 0
-        if held:
-            yield from _combined(*map(np.concatenate, zip(*held, strict=True)))
+                doc, one = c.doc[at], np.ones(len(at), np.int64)
+                yield from held.add(batch.column(1).slice(lo, hi - lo), rows[lo:hi], doc, np.zeros(len(at), np.uint64), _contents(c, raw, starts, at, one * window), at - c.first[doc], one)
+        yield from held.out()
 
     return run
 
 
-def _keys(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits for the words of each window that starts at one of `at`."""
-    f = mixed(np.arange(1, 2 * window + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    k1, k2 = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    for i in range(window):
-        w = h[at + i]
-        k1 += w * f[i]
-        k2 += (w ^ (w >> np.uint64(29))) * f[window + i]
-    return mixed(k1), (mixed(k2) >> np.uint64(33)).astype(np.int32)
-
-
 def _cut(window: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,32 +143,32 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A word goes if it is in a window of `window` words that also starts in a row with a smaller id; windows
     are judged on the input. First each task counts, in a count-min sketch, one gram of GRAM words
     per window (that with the least hash, so equal windows pick equal grams) once per row. Partial sketches
-    are merged; a window is looked at further if its gram may occur twice. The sketch never counts
-    too little, so no repeated window is lost. The second pass groups those windows exactly, by 96 bits of hash
-    of their words: within tasks first, so a window leaves a task for one id, however common it is there.
-
-    Null texts have no words. A null id counts as larger than any other; rows of one id, null included,
-    don't take words from each other. A row with fewer words than a window keeps them all. An empty table gives
-    an empty result; other columns are not looked at. The sketch has `cells` cells a row, by default as many as
-    the plan's size asks for, up to a bound; past it more windows are grouped, with the same result.
+    are merged; a window's count is no more than its gram's, and it is looked at further if that may be two or
+    more. The sketch never counts too little, so no repeated window is lost. The second pass groups exactly, by 128
+    bits of BLAKE2b over the words themselves: first runs of neighbouring windows with one gram, as a whole; then, of the
+    grams that have runs with different words, every window. Both are combined within tasks first, so a window
+    leaves a task for one id, however common it is there.
+
+    Ids may be of any type that has an order. Null texts have no words. A null id counts as larger than any other;
+    rows of one id, null included, don't take words from each other. A row with fewer words than a window keeps them all;
+    a very long one is looked at some MB at a time with all of its windows, but is cut as a whole by one task. Rows that
+    repeat id and text get equal results. An empty table gives an empty result; other columns, whatever their names, are
+    not looked at. The sketch has `cells` cells a row, by default as many as the plan's size asks for, up to a
+    bound; past it more windows are grouped, with the same result.
     """
     small_batches(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    rows = docs.select(text.alias("text"), key.alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("doc_id"))
+    rows = keyed(docs, id_col, text_col)
+    kind = rows.schema["doc_id"].dataType
     cells = cells or cells_for(docs, CELLS_PER_BYTE)
     full = merged(rows.select("text").mapInArrow(_count(window, GRAM, cells), "row int, stripe int, data binary"), cells)
-
-    windows = rows.select("text", "id", "row").mapInArrow(_windows(window, GRAM, full), _FOUND)
-    # After the tasks' own combining a key has a row per task at most, but for repeats within one document.
-    least = F.min("id").over(Window.partitionBy("k1", "k2", "kind"))
-    again = windows.withColumn("least", least).where("kind = 1 or id > least")
-    code = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("len")
-    spans = save(again.groupBy("row").agg(F.collect_list(code).alias("found")))
-
-    few = (spans.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_SPANS
-    out = rows.join(bounded(spans) if few else spans, "row", "left")
-    return out.select("text", "doc_id", "found").mapInArrow(_cut(window), id_schema(rows.schema["doc_id"].dataType, "n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string"))
+    found = decided(rows.select("text", "doc_id", "row").mapInArrow(_runs(window, GRAM, full), reference_schema(kind)), by_key=True)
+    again = found.where("not mixed")
+    several = save(found.where("mixed").select("key").distinct())
+    if not several.isEmpty():
+        single = rows.select("text", "doc_id", "row").mapInArrow(_windows(window, GRAM, members(several)), reference_schema(kind))
+        again = again.unionByName(decided(single, by_key=False))
+    out = with_spans(rows, again).mapInArrow(_cut(window), id_schema(kind, "n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string"))
+    return out
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

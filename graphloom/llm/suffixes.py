@@ -8,12 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from . import textbytes as tb
-from .common import bounded, free, id_schema, mixed, runs, save, sliding_min, small_batches
-from .sketch import Full, Partial, cells_for, merged
-from .substrings import BROADCAST_SPANS, LAST, _count_out
+from .common import bounded, id_schema, mixed, runs, save, sliding_min, small_batches
+from .sketch import Full, Partial, cells_for, members, merged, partial_rows
+from .stretches import References, decided, digests, keyed, ranks, reference_schema, with_spans
 
 #: Bytes of a repeated string, and of the grams of which each such string picks one to be dealt by.
 LENGTH, GRAM = 50, 16
@@ -25,16 +26,16 @@ HELD_BYTES = 48 << 20
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(starts of all suffixes in order of their first `depth` bytes, whether each shares those with the one before).
+    """(starts of all suffixes in order of their first `depth` bytes, how many of those each shares with the one before).
 
     Two-stage sorting. A suffix is direct if it is smaller than the next one. Only direct suffixes are sorted, by
     their bytes. Every other one is a byte followed by a smaller suffix, so one scan over the buckets in
     ascending order places it: what a bucket holds, in order, tells which suffixes with one byte more
-    come next in the buckets of those bytes. Then neighbours are compared.
+    come next in the buckets of those bytes. Then the common prefixes of neighbours are measured, up to `depth`.
     """
     n = len(text)
     if not n:
-        return np.empty(0, np.int64), np.empty(0, bool)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     used = np.flatnonzero(np.bincount(text, minlength=256))
     code = np.zeros(256, np.uint64)
     code[used] = np.arange(1, len(used) + 1)
@@ -83,12 +84,16 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.
             out.append(tell(now))  # may send further ones to this very bucket, after these
         out.append(tell(at[ends[c] : ends[c + 1]]))
     sa = np.concatenate(out)
-    same = np.ones(n, bool)
-    same[0] = False
-    for k in range(len(cuts)):
-        w = key(sa, k)
-        same[1:] &= w[1:] == w[:-1]
-    return sa, same
+    shared = np.zeros(n, np.int64)
+    live = np.arange(1, n)
+    for k, c in enumerate(cuts):
+        many = min(per, depth - c)
+        unlike = key(sa[live], k) ^ key(sa[live - 1], k)
+        shared[live] += many
+        for symbols in range(1, many + 1):  # less by one for each symbol from the first unlike one on
+            shared[live] -= (unlike >> np.uint64(bits * (many - symbols))) != 0
+        live = live[unlike == 0]
+    return sa, shared
 
 
 class _Chunk:
@@ -132,72 +137,100 @@ def _count(cells: int) -> callable:
                 c = _Chunk(raw, starts)
                 doc = np.searchsorted(starts, c.at, "right") - 1
                 _, once = np.unique(c.key ^ mixed(doc.astype(np.uint64)), return_index=True)
-                yield from _count_out(part.add(c.key[once]))
-        yield from _count_out(part.out())
+                yield from partial_rows(part.add(c.key[once]))
+        yield from partial_rows(part.out())
 
     return run
 
 
-_FOUND = "kind int, key long, id long, row long, pos long, len int, data binary"
+def _references(full) -> callable:
+    """Passages whose gram may be in two rows, as references: without their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch: Full = full.value
+        held = References(by_key=True)
+        for batch in batches:
+            rows = batch.column(2).to_numpy()
+            for lo, hi, raw, starts in tb.chunks(batch.column(0)):
+                c = _Chunk(raw, starts)
+                keep = np.flatnonzero(sketch.repeated(c.key))
+                at, length = c.at[keep], c.length[keep]
+                doc, text = np.searchsorted(starts, at, "right") - 1, raw.tobytes()
+                told = digests([text[a:b] for a, b in zip(at.tolist(), (at + length + LENGTH - 1).tolist(), strict=True)])
+                yield from held.add(batch.column(1).slice(lo, hi - lo), rows[lo:hi], doc, c.key[keep], told, at - starts[doc], length)
+        yield from held.out()
+
+    return run
+
+
+def _passage_schema(kind: T.DataType) -> T.StructType:
+    """Passages with their bytes: open ones, and those known to be repeats, without."""
+    return T.StructType([T.StructField("id", kind), *id_schema(kind, "known boolean, key long, row long, pos long, len int, data binary").fields[1:]])
 
 
-def _batch(kind: int, rows: list[tuple]) -> pa.RecordBatch:
+def _batch(known: bool, rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     key, ids, row, pos, length, data = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * len(rows), pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(row, pa.int64()), pa.array(pos, pa.int64()), pa.array(length, pa.int32()), pa.array(data, pa.binary())],
-        names=[x.split()[0] for x in _FOUND.split(", ")],
+        [pa.array(ids, kind), pa.array([known] * len(rows)), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(row, pa.int64()), pa.array(pos, pa.int64()), pa.array(length, pa.int32()), pa.array(data, pa.binary())],
+        names=["id", "known", "key", "row", "pos", "len", "data"],
     )
 
 
 class _Combiner:
     """Passages with the same bytes: that of the smallest id goes on, the others are known to be repeats."""
 
-    def __init__(self, limit: int = HELD_BYTES):
-        self.limit, self.size = limit, 0
+    def __init__(self, limit: int | None = None):
+        self.limit, self.size = HELD_BYTES if limit is None else limit, 0
         self.held: dict[bytes, list[tuple]] = {}
         self.known: list[tuple] = []
+        self.kind: pa.DataType | None = None
 
-    def add(self, data: bytes, key: int, i: int, row: int, pos: int, length: int) -> None:
+    def add(self, data: bytes, key: int, i, row: int, pos: int, length: int) -> None:
         new = (key, i, row, pos, length)
         have = self.held.get(data)
         if have is None:
             self.held[data] = [new]
             self.size += len(data) + 200
-        elif i > have[0][1]:
+        elif (first := have[0][1]) == i:
+            have.append(new)
+        elif i is None or first is not None and i > first:
             self.known.append((*new, None))
-        elif i < have[0][1]:
+        else:
             self.known += [(*x, None) for x in have]
             self.held[data] = [new]
-        else:
-            have.append(new)
 
     def out(self, all_of_it: bool) -> Iterator[pa.RecordBatch]:
         if len(self.known) >= 50_000 or all_of_it and self.known:
-            yield _batch(1, self.known)
+            yield _batch(True, self.known, self.kind)
             self.known = []
         if self.size >= self.limit or all_of_it:
             rows = [(*x, data) for data, xs in self.held.items() for x in xs]
             self.held, self.size = {}, 0
             for lo in range(0, len(rows), 20_000):
-                yield _batch(0, rows[lo : lo + 20_000])
+                yield _batch(False, rows[lo : lo + 20_000], self.kind)
+
 
+def _passages(several) -> callable:
+    """Passages of the grams that have several contents, with their bytes."""
 
-def _passages(full) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch: Full = full.value
+        sketch: Full = several.value
         held = _Combiner()
         for batch in batches:
-            ids, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            held.kind = batch.column(1).type
+            rows = batch.column(2).to_numpy()
             for lo, _, raw, starts in tb.chunks(batch.column(0)):
                 c = _Chunk(raw, starts)
                 keep = np.flatnonzero(sketch.repeated(c.key))
                 at, length, key = c.at[keep], c.length[keep], c.key[keep].tolist()
                 doc = np.searchsorted(starts, at, "right") - 1
+                ids = batch.column(1).take(pa.array(lo + doc)).to_pylist()
                 text = raw.tobytes()
-                for k, a, n, d, i, r in zip(key, at.tolist(), length.tolist(), (at - starts[doc]).tolist(), ids[lo + doc].tolist(), rows[lo + doc].tolist(), strict=True):
+                for k, a, n, d, i, r in zip(key, at.tolist(), length.tolist(), (at - starts[doc]).tolist(), ids, rows[lo + doc].tolist(), strict=True):
                     held.add(text[a : a + n + LENGTH - 1], k, i, r, d, n)
                 yield from held.out(False)
-        yield from held.out(True)
+        if held.kind is not None:
+            yield from held.out(True)
 
     return run
 
@@ -206,77 +239,79 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passages -> their single strings, dealt by hash; combined within the task."""
     held = _Combiner()
     for batch in batches:
-        ids, rows, pos, length = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+        held.kind = batch.column(0).type
+        ids, rows, pos, length = (batch.column(k).to_pylist() for k in (0, 3, 4, 5))
         for k in range(len(batch)):
             data = batch.column(6)[k].as_buffer().to_pybytes()
             for j in range(length[k]):
                 s = data[j : j + LENGTH]
                 held.add(s, xxh3_64_intdigest(s), ids[k], rows[k], pos[k] + j, 1)
         yield from held.out(False)
-    yield from held.out(True)
+    if held.kind is not None:
+        yield from held.out(True)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passages sorted by key -> those of their strings that a smaller id has, as runs."""
     keys: list[int] = []
-    rows: list[tuple] = []
+    at: list[tuple[int, int]] = []
     data: list[bytes] = []
+    held: list = []
 
-    def solve(n: int) -> pa.RecordBatch:
+    def solve() -> pa.RecordBatch:
+        n = len(keys)
         number: dict[bytes, int] = {}
-        of = np.array([number.setdefault(d, len(number)) for d in data[:n]], np.int64)
-        ids = np.array([r[0] for r in rows[:n]], np.int64)
-        least_id = np.full(len(number), np.iinfo(np.int64).max)
-        np.minimum.at(least_id, of, ids)
+        of = np.array([number.setdefault(d, len(number)) for d in data], np.int64)
+        ids = pa.array(held, kind)
+        rank = ranks(ids)
+        least_of = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(least_of, of, rank)
         contents = list(number)
         size = np.fromiter(map(len, contents), np.int64, len(contents))
         start = np.cumsum(size) - size
-        least = np.repeat(least_id, size)
-        # Passages are sorted with those of their gram that differ; one that differs from no other is its own neighbour.
-        gram = np.empty(len(contents), np.int64)
-        gram[of] = np.array(keys[:n], np.int64)
-        _, group_of, many = np.unique(gram, return_inverse=True, return_counts=True)
-        some = np.flatnonzero(many[group_of] > 1)
-        text = np.frombuffer(b"".join([contents[i] for i in some.tolist()]), np.uint8)
-        content = np.repeat(some, size[some])
-        offset = np.arange(len(text)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
-        sa, same = suffix_array(text)
+        text = np.frombuffer(b"".join(contents), np.uint8)
+        content = np.repeat(np.arange(len(contents)), size)
+        offset = np.arange(len(text)) - start[content]
+        least = least_of[content]
+        sa, shared = suffix_array(text)
         # Neighbours that share LENGTH bytes form groups; those that go over a passage's end don't count.
-        group = np.cumsum(~same)
+        group = np.cumsum(shared < LENGTH)
         counts = offset[sa] <= size[content[sa]] - LENGTH
         sa, group = sa[counts], group[counts]
         if len(sa):
             new = np.concatenate(([True], group[1:] != group[:-1]))
-            low = np.minimum.reduceat(least_id[content[sa]], np.flatnonzero(new))
-            least[start[content[sa]] + offset[sa]] = low[np.cumsum(new) - 1]
+            low = np.minimum.reduceat(least_of[content[sa]], np.flatnonzero(new))
+            least[sa] = low[np.cumsum(new) - 1]
         # The strings of every passage, one after another: those that a smaller id has, as runs.
         many = size[of] - LENGTH + 1
         first = np.cumsum(many) - many
         mine = np.repeat(np.arange(n), many)
         within = np.arange(int(many.sum())) - first[mine]
-        hit = least[start[of][mine] + within] < ids[mine]
+        hit = least[start[of][mine] + within] < rank[mine]
         before = np.concatenate(([False], hit[:-1]))
         before[first] = False
         after = np.concatenate((hit[1:], [False]))
         after[first[1:] - 1] = False
         a, b = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after) + 1
-        row, pos = (np.array([r[k] for r in rows[:n]], np.int64) for k in (1, 2))
-        return pa.RecordBatch.from_arrays([pa.array(row[mine[a]]), pa.array(pos[mine[a]] + within[a]), pa.array((b - a).astype(np.int32))], names=["row", "pos", "len"])
+        row, pos = np.array(at, np.int64).T
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(mine[a])), pa.array(row[mine[a]]), pa.array(pos[mine[a]] + within[a]), pa.array((b - a).astype(np.int32))], names=["id", "row", "pos", "len"])
 
-    size = 0
+    size, kind = 0, None
     for batch in batches:
-        key, ids, row, pos = (batch.column(k).to_pylist() for k in (1, 2, 3, 4))
+        kind = batch.column(0).type
+        ids, key, row, pos = (batch.column(k).to_pylist() for k in (0, 2, 3, 4))
         texts = batch.column(6)
         for k in range(len(batch)):
             if size >= ARRAY_BYTES and key[k] != keys[-1]:
-                yield solve(len(keys))
-                keys, rows, data, size = [], [], [], 0
+                yield solve()
+                keys, at, data, held, size = [], [], [], [], 0
             keys.append(key[k])
-            rows.append((ids[k], row[k], pos[k]))
+            at.append((row[k], pos[k]))
+            held.append(ids[k])
             data.append(texts[k].as_buffer().to_pybytes())
             size += len(data[-1])
     if keys:
-        yield solve(len(keys))
+        yield solve()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,38 +343,38 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A byte of the UTF-8 text goes if it is in a string of LENGTH bytes that also starts in a row with a smaller
     id; strings are judged on the input. Every such string picks one gram of GRAM bytes, that of the least hash,
     so equal strings pick equal grams, and neighbouring strings mostly the same: they form a passage.
-    A count-min sketch over the tasks tells which grams may be in two rows. Passages of those, equal ones combined
-    within a task, are dealt by their gram; each task sorts the suffixes of some MB of them at a time
-    (suffix_array), and neighbours that share LENGTH bytes are repeats. A gram whose passages have over hot_bytes is
-    taken apart: its passages are dealt as single strings, of which a task sends each once.
-
-    Null texts have no bytes. A null id counts as larger than any other; rows of one id, null included, don't
-    take bytes from each other. An empty table gives an empty result; other columns are not looked at.
+    A count-min sketch over the tasks tells which grams may be in two rows. Passages of those are dealt twice. At first
+    by gram with 128 bits of BLAKE2b in place of their bytes, combined within a task: a gram whose passages are all
+    equal is decided by their ids alone. The passages of the others are read again and dealt with their bytes, equal
+    ones of a task once; each task sorts the suffixes of some MB of different passages at a time (suffix_array), and
+    neighbours that share LENGTH bytes are repeats. A gram whose passages have over hot_bytes is taken apart: its passages
+    are dealt as single strings, of which a task sends each once.
+
+    Ids may be of any type that has an order. Null texts have no bytes. A null id counts as larger than any other; rows
+    of one id, null included, don't take bytes from each other. Very long texts are looked at some MB at a time with all
+    of their strings, but are cut as a whole by one task. Rows that repeat id and text get equal results. An empty
+    table gives an empty result; other columns, whatever their names, are not looked at.
     """
     small_batches(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    rows = docs.select(text.alias("text"), key.alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("doc_id"))
+    rows = keyed(docs, id_col, text_col)
+    kind, places = rows.schema["doc_id"].dataType, ["id", "row", "pos", "len"]
     cells = cells or cells_for(docs, CELLS_PER_BYTE)
     full = merged(rows.select("text").mapInArrow(_count(cells), "row int, stripe int, data binary"), cells)
-    free(docs.sparkSession)
-
-    found = save(rows.select("text", "id", "row").mapInArrow(_passages(full), _FOUND))
-    passages = found.where("kind = 0")
-    hot = save(passages.groupBy("key").agg(F.sum(F.length("data")).alias("size")).where(F.col("size") > hot_bytes).select("key"))
-    if not hot.isEmpty():
-        strings = save(passages.join(bounded(hot), "key", "left_semi").select(*found.columns).mapInArrow(_strings, _FOUND))
-        passages = passages.join(bounded(hot), "key", "left_anti").select(*found.columns).unionByName(strings.where("kind = 0"))
-        found = found.where("kind = 1").unionByName(strings.where("kind = 1"))
-    again = passages.repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, "row long, pos long, len int")
-    again = again.unionByName(found.where("kind = 1").select("row", "pos", "len"))
-    code = F.shiftleft(F.col("pos"), 32) + F.col("len")
-    spans = save(again.groupBy("row").agg(F.collect_list(code).alias("found")))
-    del found, passages, again
-    free(docs.sparkSession)
-    few = (spans.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_SPANS
-    out = rows.join(bounded(spans) if few else spans, "row", "left")
-    return out.select("text", "doc_id", "found").mapInArrow(_cut, id_schema(rows.schema["doc_id"].dataType, "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"))
+    found = decided(rows.select("text", "doc_id", "row").mapInArrow(_references(full), reference_schema(kind)), by_key=True)
+    again = found.where("not mixed").select(*places)
+    several = save(found.where("mixed").select("key").distinct())
+    if not several.isEmpty():
+        passages = save(rows.select("text", "doc_id", "row").mapInArrow(_passages(members(several)), _passage_schema(kind)))
+        parts, left = [passages], passages.where("not known")
+        hot = save(left.groupBy("key").agg(F.sum(F.length("data")).alias("size")).where(F.col("size") > hot_bytes).select("key"))
+        if not hot.isEmpty():
+            strings = save(left.join(bounded(hot), "key", "left_semi").select(*passages.columns).mapInArrow(_strings, _passage_schema(kind)))
+            left = left.join(bounded(hot), "key", "left_anti").select(*passages.columns).unionByName(strings.where("not known"))
+            parts.append(strings)
+        solved = left.repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, T.StructType([passages.schema[c] for c in places]))
+        for part in [solved, *[p.where("known").select(*places) for p in parts]]:
+            again = again.unionByName(part)
+    return with_spans(rows, again).mapInArrow(_cut, id_schema(kind, "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import pytest
 from conftest_llm import SF, tuples
 
-from graphloom.llm import substrings
+from graphloom.llm import stretches, substrings
 
 
 def brute(rows, window=13):
@@ -30,8 +30,8 @@ def brute(rows, window=13):
 def test_substrings(request, which, cells, monkeypatch):
     df = request.getfixturevalue(which)
     if cells:
-        monkeypatch.setattr(substrings, "HELD", 1000)
-        monkeypatch.setattr(substrings, "BROADCAST_SPANS", -1)
+        monkeypatch.setattr(stretches, "HELD", 1000)
+        monkeypatch.setattr(stretches, "BROADCAST_SPANS", -1)
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     got = substrings.substring_dedup(df, cells=cells)
     assert tuples(got, "doc_id", "n_words", "n_removed", "kept") == brute(rows)

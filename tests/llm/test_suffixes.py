@@ -1,12 +1,13 @@
 """50-byte strings against a dictionary of all of them, and suffix arrays against sorting."""
 
 import hashlib
+import os
 
 import numpy as np
 import pytest
 from conftest_llm import SF, tuples
 
-from graphloom.llm import suffixes
+from graphloom.llm import stretches, suffixes
 
 N = suffixes.LENGTH
 
@@ -38,7 +39,7 @@ def digest(df):
 def test_suffixes(request, which, hot, monkeypatch):
     df = request.getfixturevalue(which)
     if hot == 200:
-        monkeypatch.setattr(suffixes, "BROADCAST_SPANS", -1)
+        monkeypatch.setattr(stretches, "BROADCAST_SPANS", -1)
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     assert digest(suffixes.suffix_dedup(df, hot_bytes=hot)) == brute(rows)
 
@@ -53,8 +54,8 @@ def test_suffix_array():
     for n, size in ((1, 1), (7, 1), (200, 1), (300, 2), (500, 4), (3000, 200)):
         text = rng.integers(0, size, n).astype(np.uint8)
         raw = text.tobytes()
-        sa, same = suffixes.suffix_array(text, 20)
+        sa, shared = suffixes.suffix_array(text, 20)
         assert sorted(sa.tolist()) == list(range(n))
         heads = [raw[i : i + 20] for i in sa]
         assert heads == sorted(heads)
-        assert same.tolist() == [False] + [a == b for a, b in zip(heads, heads[1:])]
+        assert shared.tolist() == [0] + [len(os.path.commonprefix([a, b])) for a, b in zip(heads, heads[1:])]
