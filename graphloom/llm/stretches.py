@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .common import bounded, id_schema, save
 
 #: Stretches that a task combines at a time; rows of a batch; spans, in all, of the rows that are broadcast.
-HELD, OUT_ROWS, BROADCAST_SPANS = 2_000_000, 200_000, 100_000
+HELD, OUT_ROWS, BROADCAST_SPANS = 1_000_000, 100_000, 100_000
 #: kind of a row of references: a stretch to be decided, one known to be a repeat, or a key with several contents.
 OPEN, KNOWN, MIXED = 0, 1, 2
 _NAMES = ["id", "kind", "key", "d1", "d2", "row", "pos", "len"]

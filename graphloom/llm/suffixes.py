@@ -16,8 +16,9 @@ from .common import bounded, id_schema, mixed, runs, save, sliding_min, small_ba
 from .sketch import Full, Partial, cells_for, members, merged, partial_rows
 from .stretches import References, decided, digests, keyed, ranks, reference_schema, with_spans
 
-#: Bytes of a repeated string, and of the grams of which each such string picks one to be dealt by.
-LENGTH, GRAM = 50, 16
+#: Bytes of a repeated string, of the grams of which each such string picks one to be dealt by, and of those by which
+#: the strings of grams with several contents are looked over again.
+LENGTH, GRAM, LONG_GRAM = 50, 16, 40
 CELLS_PER_BYTE = 0.4
 #: Bytes of text in one suffix array; bytes that one gram's passages may have before they are dealt by whole strings.
 ARRAY_BYTES, HOT_BYTES = 4 << 20, 8 << 20
@@ -96,22 +97,30 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.
     return sa, shared
 
 
+def _gram_hashes(part: np.ndarray, gram: int) -> np.ndarray:
+    words = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
+    n = len(part) - gram + 1
+    out = np.zeros(n, np.uint64)
+    for at in [*range(0, gram - 8, 8), gram - 8]:
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[at : at + n])
+    return out
+
+
 class _Chunk:
-    """Strings of LENGTH bytes of some rows' texts, in runs that have one gram of least hash."""
+    """Strings of LENGTH bytes of some rows' texts (with wanted, of those that it marks), in runs that have one gram of least hash."""
 
-    def __init__(self, raw: np.ndarray, starts: np.ndarray):
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, gram: int = GRAM, wanted: np.ndarray | None = None):
         n = len(raw) - LENGTH + 1
+        self.n = max(0, n)
         self.at = self.length = np.empty(0, np.int64)
         self.key = np.empty(0, np.uint64)
-        if n < 1:
+        if n < 1 or wanted is not None and not wanted.any():
             return
         least = np.empty(n, np.uint64)
         for lo in range(0, n, tb.SLICE):
             hi = min(n, lo + tb.SLICE)
-            part = np.ascontiguousarray(raw[lo : hi + LENGTH - 1])
-            words = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
-            gram = mixed(words[: len(part) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) + mixed(words[8 : 8 + len(part) - GRAM + 1]))
-            least[lo:hi] = sliding_min(gram, LENGTH - GRAM + 1)
+            if wanted is None or wanted[lo:hi].any():
+                least[lo:hi] = sliding_min(_gram_hashes(np.ascontiguousarray(raw[lo : hi + LENGTH - 1]), gram), LENGTH - gram + 1)
         size = np.diff(starts)
         first = starts[:-1][size >= LENGTH]
         last = starts[1:][size >= LENGTH] - LENGTH + 1  # strings start in [first, last)
@@ -119,22 +128,39 @@ class _Chunk:
         np.add.at(edge, first, 1)
         np.add.at(edge, last, -1)
         valid = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        if wanted is not None:
+            valid &= wanted
+        # A run ends where the next begins, or at a string that doesn't count.
         new = np.ones(n, bool)
-        new[1:] = least[1:] != least[:-1]
+        new[1:] = (least[1:] != least[:-1]) | ~valid[:-1]
         new[first] = True
         at = np.flatnonzero(new & valid)
-        left = np.sort(np.concatenate((np.flatnonzero(new & valid), last)))
-        # A run ends where the next begins or where its text has no more strings.
-        end = left[np.minimum(np.searchsorted(left, at, "right"), len(left) - 1)]
-        self.at, self.key, self.length = at, least[at], end - at
+        left = np.concatenate((np.flatnonzero(new | ~valid), [n]))
+        self.at, self.key, self.length = at, least[at], left[np.searchsorted(left, at, "right")] - at
+
+    def strings(self, runs_kept: np.ndarray) -> np.ndarray:
+        """For each place, whether a string of these runs starts there."""
+        edge = np.zeros(self.n + 1, np.int8)
+        edge[self.at[runs_kept]] += 1
+        edge[(self.at + self.length)[runs_kept]] -= 1
+        return np.cumsum(edge[:-1], dtype=np.int8) > 0
+
 
+def _wanted(raw: np.ndarray, starts: np.ndarray, path: tuple) -> np.ndarray | None:
+    """The strings whose least gram is known to each sketch of the path, a sequence of (bytes of grams, broadcast sketch)."""
+    wanted = None
+    for gram, sketch in path:
+        c = _Chunk(raw, starts, gram, wanted)
+        wanted = c.strings(sketch.value.repeated(c.key))
+    return wanted
 
-def _count(cells: int) -> callable:
+
+def _count(cells: int, gram: int = GRAM, path: tuple = ()) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = Partial(cells)
         for batch in batches:
             for _, _, raw, starts in tb.chunks(batch.column(0)):
-                c = _Chunk(raw, starts)
+                c = _Chunk(raw, starts, gram, _wanted(raw, starts, path))
                 doc = np.searchsorted(starts, c.at, "right") - 1
                 _, once = np.unique(c.key ^ mixed(doc.astype(np.uint64)), return_index=True)
                 yield from partial_rows(part.add(c.key[once]))
@@ -210,19 +236,17 @@ class _Combiner:
                 yield _batch(False, rows[lo : lo + 20_000], self.kind)
 
 
-def _passages(several) -> callable:
-    """Passages of the grams that have several contents, with their bytes."""
+def _passages(path: tuple) -> callable:
+    """Passages of the strings that the path wants, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch: Full = several.value
         held = _Combiner()
         for batch in batches:
             held.kind = batch.column(1).type
             rows = batch.column(2).to_numpy()
             for lo, _, raw, starts in tb.chunks(batch.column(0)):
-                c = _Chunk(raw, starts)
-                keep = np.flatnonzero(sketch.repeated(c.key))
-                at, length, key = c.at[keep], c.length[keep], c.key[keep].tolist()
+                c = _Chunk(raw, starts, GRAM, _wanted(raw, starts, path))
+                at, length, key = c.at, c.length, c.key.tolist()
                 doc = np.searchsorted(starts, at, "right") - 1
                 ids = batch.column(1).take(pa.array(lo + doc)).to_pylist()
                 text = raw.tobytes()
@@ -345,8 +369,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     so equal strings pick equal grams, and neighbouring strings mostly the same: they form a passage.
     A count-min sketch over the tasks tells which grams may be in two rows. Passages of those are dealt twice. At first
     by gram with 128 bits of BLAKE2b in place of their bytes, combined within a task: a gram whose passages are all
-    equal is decided by their ids alone. The passages of the others are read again and dealt with their bytes, equal
-    ones of a task once; each task sorts the suffixes of some MB of different passages at a time (suffix_array), and
+    equal is decided by their ids alone. In the others a second sketch, of grams of LONG_GRAM bytes, tells which strings may
+    be in two rows; passages of those are dealt with their bytes, equal ones of a task once; each task sorts the suffixes of some MB of different passages at a time (suffix_array), and
     neighbours that share LENGTH bytes are repeats. A gram whose passages have over hot_bytes is taken apart: its passages
     are dealt as single strings, of which a task sends each once.
 
@@ -364,7 +388,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = found.where("not mixed").select(*places)
     several = save(found.where("mixed").select("key").distinct())
     if not several.isEmpty():
-        passages = save(rows.select("text", "doc_id", "row").mapInArrow(_passages(members(several)), _passage_schema(kind)))
+        path = ((GRAM, members(several)),)
+        path += ((LONG_GRAM, merged(rows.select("text").mapInArrow(_count(cells, LONG_GRAM, path), "row int, stripe int, data binary"), cells)),)
+        passages = save(rows.select("text", "doc_id", "row").mapInArrow(_passages(path), _passage_schema(kind)))
         parts, left = [passages], passages.where("not known")
         hot = save(left.groupBy("key").agg(F.sum(F.length("data")).alias("size")).where(F.col("size") > hot_bytes).select("key"))
         if not hot.isEmpty():
