@@ -12,15 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import id_schema, packed, small_batches, unpacked
+from .common import bounded, id_schema, packed, save, small_batches, unpacked
 
 #: Bytes that are part of a word once A-Z are lower case: digits, letters, and all of UTF-8 beyond ASCII.
 IS_WORD = tb.word_table(word_ranges=[(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: The same for Spark's regular expressions, and before the letters become lower case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words in a window; bytes of text in a shard; text positions between sampled suffix positions.
-WINDOW, SHARD, SAMPLE = 10, 16 << 20, 8
-#: Test items whose windows are sent to the executors together.
-BLOCK_ITEMS = 20_000
+WINDOW, SHARD, SAMPLE = 10, 8 << 20, 8
+#: Bytes of test items, about, whose windows are searched for in one pass over the documents.
+BLOCK_BYTES = 16 << 20
 
 
 class WaveletMatrix:
@@ -30,13 +34,13 @@ class WaveletMatrix:
         self.bits, self.ones, self.zeros = bits, [], []
         for level in reversed(range(bits)):
             bit = (seq >> level) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit, dtype=np.int64))))
+            self.ones.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int32))
             self.zeros.append(len(seq) - int(self.ones[-1][-1]))
             seq = np.concatenate((seq[bit == 0], seq[bit == 1]))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """For each pair, how often the symbol occurs before the position."""
-        first = np.zeros_like(at)
+        at, first = at.astype(np.int64), np.zeros(len(at), np.int64)
         for k, level in enumerate(reversed(range(self.bits))):
             up = ((symbol >> level) & 1).astype(bool)
             a, b = self.ones[k][at], self.ones[k][first]
@@ -99,7 +103,7 @@ class FMIndex:
 
 
 class Phrases:
-    """The distinct windows of some test items, and what tells quickly where none can be."""
+    """The distinct windows of some test items, and their vocabulary."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         found: dict[tuple[bytes, ...], set[str]] = {}
@@ -112,58 +116,50 @@ class Phrases:
         number = {w: i + 1 for i, w in enumerate(vocabulary)}
         self.items = [sorted(v) for v in found.values()]
         self.length = np.array([len(p) for p in found], np.int64)
-        self.rows = np.zeros((len(found), window), np.int64)
+        self.rows = np.zeros((len(found), window), np.int32)
         for row, p in zip(self.rows, found, strict=True):
             row[: len(p)] = [number[w] for w in p]
-        raw = np.frombuffer(b" ".join(vocabulary), np.uint8)
-        h = tb.words(raw, np.zeros(1, np.int64), IS_WORD, fold=True)[0]
-        order = np.argsort(h)
-        self.hash, self.number, self.size = h[order], order + 1, len(vocabulary)
+        self.size = len(vocabulary)
+        self.bytes = np.frombuffer(b" ".join(vocabulary), np.uint8)
+        h, start, end = tb.words(self.bytes, np.zeros(1, np.int64), IS_WORD, fold=True)
+        order = np.argsort(h, kind="stable")
+        self.hash, self.number = h[order], order + 1
+        self.start, self.width = start[order], (end - start)[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hash >> np.uint64(44)).astype(np.int64)] = True
-        wide = self.size + 1
-        self.pairs = np.unique(np.concatenate([self.rows[self.length > i + 1, i] * wide + self.rows[self.length > i + 1, i + 1] for i in range(window - 1)] or [np.empty(0, np.int64)]))
-        self.table = None
-        if wide * wide <= 1 << 26:
-            self.table = np.zeros(wide * wide, bool)
-            self.table[self.pairs] = True
-        self.singles = np.zeros(wide, bool)
-        self.singles[self.rows[self.length == 1, 0]] = True
-        self.shortest = int(self.length[self.length > 1].min(initial=window))
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """The words' numbers in the vocabulary, or 0."""
+
+    def numbers(self, raw: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The numbers in the vocabulary of words of raw, or 0: looked up by hash, compared by their bytes."""
         out = np.zeros(len(h), np.int64)
-        near = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hash, h[near]), self.size - 1)
-        out[near] = np.where(self.hash[at] == h[near], self.number[at], 0)
+        word = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+        at = np.searchsorted(self.hash, h[word])
+        while len(word):  # once, but for words of the vocabulary that share a hash
+            there = at < self.size
+            word, at = word[there], at[there]
+            there = self.hash[at] == h[word]
+            word, at = word[there], at[there]
+            equal = (end - start)[word] == self.width[at]
+            for lo in range(0, len(word), 100_000):
+                few = np.flatnonzero(equal[lo : lo + 100_000]) + lo
+                size = self.width[at[few]]
+                of = np.repeat(np.arange(len(few)), size)
+                within = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+                unlike = _LOWER[raw[start[word[few]][of] + within]] != self.bytes[self.start[at[few]][of] + within]
+                equal[few[of[unlike]]] = False
+            out[word[equal]] = self.number[at[equal]]
+            word, at = word[~equal], at[~equal] + 1
         return out
 
-    def candidates(self, number: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Words that a window may cover: all their neighbours in it make pairs of words that some window has."""
-        if self.table is not None:
-            pair = self.table[number[:-1] * (self.size + 1) + number[1:]]
-        else:
-            code = number[:-1] * (self.size + 1) + number[1:]
-            at = np.minimum(np.searchsorted(self.pairs, code), max(0, len(self.pairs) - 1))
-            pair = self.pairs[at] == code if len(self.pairs) else np.zeros(len(code), bool)
-        pair = pair & (number[:-1] > 0) & (number[1:] > 0) & (doc[:-1] == doc[1:])
-        keep = self.singles[number] & (number > 0)
-        s, e = (x.astype(np.int64) for x in tb_runs(pair))
-        long = e - s + 1 >= self.shortest
-        edge = np.zeros(len(number) + 1, np.int64)
-        np.add.at(edge, s[long], 1)
-        np.add.at(edge, e[long] + 1, -1)
-        return keep | (np.cumsum(edge[:-1]) > 0)
-
-    def hits(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For a shard of words (hashes, and the number of each one's document): hit phrase, first word, length."""
-        none = np.empty(0, np.int64)
-        if not len(h) or not self.size:
-            return none, none, none
-        number = self.numbers(h)
-        kept = np.flatnonzero(self.candidates(number, doc))
+    def hits(self, raw: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For a shard of words (hash, place, and the number of each one's document): hit phrase, first word, length.
+
+        The index is over all words of the shard; those that no test item has, and ends of documents, are
+        marks that no phrase goes over, and several in a row are one.
+        """
+        number = self.numbers(raw, h, start, end) if len(h) and self.size else np.empty(0, np.int64)
+        kept = np.flatnonzero(number)
         if not len(kept):
+            none = np.empty(0, np.int64)
             return none, none, none
         ends = np.concatenate((np.flatnonzero((np.diff(kept) > 1) | (np.diff(doc[kept]) != 0)) + 1, [len(kept)]))
         text = np.insert(number[kept], ends, 0)
@@ -176,29 +172,23 @@ class Phrases:
         return phrase, word[index.locate(rows)], self.length[phrase]
 
 
-def tb_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    return edge[::2], edge[1::2]
-
-
-def _searched(blocks: list, text_at: int) -> callable:
+def _searched(block, text_at: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, spans, items = [], [], []
             for lo, hi, raw, starts in tb.chunks(batch.column(text_at), SHARD):
-                h, s, _ = tb.words(raw, starts, IS_WORD, fold=True)
+                h, s, e = tb.words(raw, starts, IS_WORD, fold=True)
                 doc = np.searchsorted(starts, s, "right") - 1
                 per_doc = np.bincount(doc, minlength=hi - lo)
                 first = np.cumsum(per_doc) - per_doc
                 edge = np.zeros(len(h) + 1, np.int64)
                 found: list[set[str]] = [set() for _ in range(hi - lo)]
-                for block in blocks:
-                    phrases: Phrases = block.value
-                    phrase, at, length = phrases.hits(h, doc)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + length, -1)
-                    for d, p in np.unique(np.stack((doc[at], phrase)), axis=1).T.tolist() if len(at) else ():
-                        found[d].update(phrases.items[p])
+                phrases: Phrases = block.value
+                phrase, at, length = phrases.hits(raw, h, s, e, doc)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + length, -1)
+                for d, p in np.unique(np.stack((doc[at], phrase)), axis=1).T.tolist() if len(at) else ():
+                    found[d].update(phrases.items[p])
                 of_doc: list[list[dict]] = [[] for _ in range(hi - lo)]
                 if edge.any():
                     # A run never goes over the end of a document: windows don't.
@@ -224,25 +214,54 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A-Z become lower case; words are runs of ASCII letters, digits and characters beyond ASCII. A window is
     `window` consecutive words of an item; an item with fewer words, but not none, is one window. Each task
-    takes its rows in shards of some MB. Of a shard it indexes the stretches in which all pairs of
-    neighbours are pairs of some window (no window can be elsewhere): suffixes sorted, their preceding words in
-    a wavelet matrix, every eighth suffix position sampled. All windows are searched in it at once.
-
-    Null texts and items without words have no windows; a null item id counts as the empty string. Rows that
-    repeat an id are looked at one by one. Empty tables give no spans or no rows. The windows go to the
-    executors in blocks of at most BLOCK_ITEMS items; documents are read once, and nothing is shuffled.
+    takes its rows in shards of some MB (a longer text is a shard of its own) and builds an index of each: suffixes of all
+    words sorted, their preceding words in a wavelet matrix, every eighth suffix position sampled. All windows are
+    searched in it at once, and the spans of their places are merged.
+
+    Null texts and items without words have no windows; a null item id counts as the empty string; an item that is there
+    twice counts once. Rows that repeat an id are looked at one by one. Empty tables give no spans or no rows. Other
+    columns of both tables, whatever their names, are not looked at. Items of BLOCK_BYTES at most are broadcast, and
+    documents are read once, without a shuffle; more items are dealt into blocks of about that size, with one pass over
+    the documents for each, whose hits are merged.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    blocks, held = [], []
-    for row in benchmark.select(item_col, item_text_col).toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == BLOCK_ITEMS:
-            blocks.append(spark.sparkContext.broadcast(Phrases(held, window)))
-            held = []
-    blocks.append(spark.sparkContext.broadcast(Phrases(held, window)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(_searched(blocks, 1), id_schema(rows.schema["doc_id"].dataType, "n_words long, spans array<struct<start:long,end:long>>, items array<string>"))
+    schema = id_schema(rows.schema["doc_id"].dataType, "n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
+    if n > 1:
+        items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+        items = save(items.repartition(n, "block"))
+
+    def phrases(k: int):
+        return spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in (items.where(F.col("block") == k) if n > 1 else items).toLocalIterator()], window))
+
+    if n <= 1:
+        return rows.mapInArrow(_searched(phrases(0), 1), schema)
+    keys = [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(n), "doc_id").alias("k2")]
+    hits = None
+    for k in range(n):
+        with_key = rows.select(F.struct(*keys).alias("doc_id"), "text")
+        part = with_key.mapInArrow(_searched(phrases(k), 1), id_schema(with_key.schema["doc_id"].dataType, "n_words long, spans array<struct<start:long,end:long>>, items array<string>"))
+        part = save(part.where(F.size("spans") > 0).select("doc_id.*", "spans", "items"))
+        hits = part if hits is None else hits.unionByName(part)
+    joined = hits.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    joined = save(joined.select("k1", "k2", _merged_spans(F.col("s")).alias("spans"), "items"))
+    out = rows.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), *keys).join(bounded(joined), ["k1", "k2"], "left")
+    return out.select("doc_id", "n_words", *[F.coalesce(c, F.array().cast(schema[c].dataType)).alias(c) for c in ("spans", "items")])
+
+
+def _merged_spans(spans: F.Column) -> F.Column:
+    """Sorted spans with those that overlap or touch made one."""
+    kind = "array<struct<start:long,end:long>>"
+
+    def add(acc: F.Column, s: F.Column) -> F.Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when((F.size(acc) > 0) & (s["start"] <= last["end"]), grown).otherwise(F.concat(acc, F.array(s))).cast(kind)
+
+    return F.aggregate(spans, F.array().cast(kind), add)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
