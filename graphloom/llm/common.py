@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join with at most so many short rows is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 50_000
 #: Bytes of one text that are split into words at a time.
 PIECE = 4 << 20
 

@@ -14,8 +14,8 @@ from .common import bounded, id_schema, packed, pieces, save, small_batches, unp
 
 #: Words of a shingle; fingerprints link at so many differing bits or fewer.
 SHINGLE, DISTANCE = 4, 4
-#: Fingerprints of one block key that are compared within one group; larger keys are dealt out in tiles.
-TILE = 4096
+#: Fingerprints of one block key that are compared within one group; larger keys are split by further blocks.
+GROUP = 4096
 #: Shingles that are hashed before their bits are added up.
 HELD = 1 << 16
 
@@ -79,17 +79,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints(shingle), id_schema(rows.schema[0].dataType, "row long, fp long"))
 
 
-def block_masks(rows: int, distance: int = DISTANCE) -> list[int]:
-    """Sets of bits such that two fingerprints at `distance` or nearer agree on one set at least.
+def block_masks(rows: int, distance: int = DISTANCE, within: int = (1 << 64) - 1) -> list[int]:
+    """Sets of bits (of `within`) such that two fingerprints at `distance` or nearer agree on one set at least.
 
-    The 64 bits are split into m blocks; at most `distance` blocks differ, so m - distance agree. With more
+    The bits are split into m blocks; at most `distance` blocks differ, so m - distance agree. With more
     blocks keys get longer, so fewer unequal fingerprints meet, but each has more keys. m is the least with
     at most one chance meeting expected for each fingerprint and key.
     """
-    for m in range(distance + 1, distance + 6):
-        cuts = [64 * i // m for i in range(m + 1)]
-        blocks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
-        if rows <= 1 << (64 * (m - distance) // m):
+    bits = [1 << b for b in range(64) if within >> b & 1]
+    for m in range(distance + 1, min(len(bits), distance + 5) + 1):
+        cuts = [len(bits) * i // m for i in range(m + 1)]
+        blocks = [sum(bits[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        if rows <= 1 << (len(bits) * (m - distance) // m):
             break
     return [sum(c) for c in combinations(blocks, m - distance)]
 
@@ -98,23 +99,12 @@ def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= distance
 
 
-def forest(fps: np.ndarray, distance: int, split: int = 0) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links among distinct fingerprints that join all which links join: at most one less than there are.
 
-    With split, only links from the first `split` ones to the rest count. Each fingerprint not reached yet
-    takes all those near it at once, so nothing is compared twice, and pairs are not listed.
+    Each fingerprint not reached yet takes all those near it at once, so nothing is compared twice, and pairs are not listed.
     """
     out = []
-    if split:
-        label = np.arange(len(fps))
-        for i in range(split):
-            near = np.flatnonzero(_near(fps[split:], fps[i], distance)) + split
-            near = near[label[near] != label[i]]
-            _, one = np.unique(label[near], return_index=True)
-            for j in near[one].tolist():
-                out.append((int(fps[i]), int(fps[j])))
-            label[np.isin(label, label[near])] = label[i]
-        return out
     left = np.arange(len(fps))
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -129,37 +119,30 @@ def forest(fps: np.ndarray, distance: int, split: int = 0) -> list[tuple[int, in
 
 
 def _links(distance: int) -> callable:
-    """Rows sorted by (mask, key, tile) -> verified links. A group has at most two tiles of TILE fingerprints."""
+    """Rows (mask, key, fp) sorted by mask and key -> verified links."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(5)]
+            cols = [batch.column(i).to_numpy() for i in range(3)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            new = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+            new = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
             cut = new[-1] if len(new) else 0
             if cut:
-                yield [c[:cut] for c in cols], np.concatenate(([0], new))
+                yield cols[2][:cut], np.concatenate(([0], new))
             held = [c[cut:] for c in cols]
         if held is not None and len(held[0]):
-            yield held, np.array([0, len(held[0])])
+            yield held[2], np.array([0, len(held[0])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, tile, fp, side), at in groups(batches):
-            fp = fp.view(np.uint64)
-            size = np.diff(at)
-            pair = at[:-1][(size == 2)]
-            pair = pair[(tile[pair] == 0) | (side[pair] != side[pair + 1])]
+        for fp, at in groups(batches):
+            fp, size = fp.view(np.uint64), np.diff(at)
+            pair = at[:-1][size == 2]
             pair = pair[_near(fp[pair], fp[pair + 1], distance)]
             a, b = [fp[pair]], [fp[pair + 1]]
             for k in np.flatnonzero(size > 2).tolist():
-                own, sides = fp[at[k] : at[k + 1]], side[at[k] : at[k + 1]]
-                order = np.argsort(sides, kind="stable")
-                first = int((sides == 0).sum())
-                if tile[at[k]] and first in (0, len(own)):
-                    continue
-                if found := forest(own[order], distance, first if tile[at[k]] else 0):
+                if found := forest(fp[at[k] : at[k + 1]], distance):
                     x, y = zip(*found, strict=True)
                     a.append(np.array(x, np.uint64))
                     b.append(np.array(y, np.uint64))
@@ -168,28 +151,41 @@ def _links(distance: int) -> callable:
     return run
 
 
-def links(classes: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def links(classes: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
     """classes: distinct fp -> links a, b between fingerprints at `distance` or nearer, enough to join each component.
 
     Every fingerprint is dealt out under its key for each mask (block_masks), and keys that more than one
-    has are compared. A key that many have is cut into tiles by another hash: each pair of tiles
-    is a group of its own, so no task gets a key as a whole and every pair is still compared.
+    has are compared. Fingerprints of a key that more than `group` have can only differ in the other bits, so those are
+    split into blocks in turn, and they are dealt out under longer keys, until groups are small: a hot key is never
+    compared as a whole, and no pair is lost. With few bits left a group is small by itself.
     """
-    rows = classes.count()
-    masks = block_masks(rows, distance)
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)]))
-    keyed = classes.select("fp", keys.alias("k")).select("fp", "k.*")
-    sizes = save(keyed.groupBy("mask", "key").count().where("count > 1"))
-    keyed = keyed.join(bounded(sizes), ["mask", "key"])
-    tiles = F.ceil(F.col("count") / tile).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    other = F.sequence(F.lit(0), F.col("tiles") - 1)
-    # Group (i, j), i < j, compares tile i with tile j; (i, i) compares a tile with itself. Tile 0 stands for "no tiles".
-    pairs = F.transform(other, lambda j: F.struct(F.when(j == F.col("own"), F.lit(0)).otherwise(1 + F.least(j, F.col("own")) * F.col("tiles") + F.greatest(j, F.col("own"))).alias("tile"), (F.col("own") > j).cast("int").alias("side"), F.when(j == F.col("own"), F.col("own")).otherwise(0).alias("same")))
-    dealt = keyed.withColumn("tiles", tiles).withColumn("own", own).withColumn("t", F.explode(pairs))
-    dealt = dealt.select(F.when(F.col("t.same") > 0, F.col("mask") + F.col("t.same") * len(masks)).otherwise(F.col("mask")).alias("mask"), "key", F.col("t.tile").cast("long").alias("tile"), "fp", F.col("t.side").alias("side"))
-    dealt = dealt.repartition("mask", "key", "tile").sortWithinPartitions("mask", "key", "tile")
-    return dealt.mapInArrow(_links(distance), "a long, b long").distinct()
+    masks = block_masks(classes.count(), distance)
+    keyed = _dealt(classes.select("fp"), F.array(*[F.lit(_signed(m)) for m in masks]))
+    out = None
+    while True:
+        sizes = save(keyed.groupBy("mask", "key").count().where("count > 1"))
+        shared = keyed.join(bounded(sizes), ["mask", "key"])
+        # More bits are left than can be told apart in a small group, or than blocks are needed.
+        free = 64 - F.bit_count("mask")
+        hot = (F.col("count") > group) & (free > distance + 1)
+        small = shared.where(~hot).select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
+        found = small.mapInArrow(_links(distance), "a long, b long")
+        out = found if out is None else out.unionByName(found)
+        large = sizes.where(hot).groupBy("mask").agg(F.max("count").alias("most")).collect()  # some of the masks of this level
+        if not large:
+            return out.distinct()
+        finer = {r.mask: block_masks(r.most, distance, ((1 << 64) - 1) ^ (r.mask & (1 << 64) - 1)) for r in large}
+        options = F.create_map(*[x for m, subs in finer.items() for x in (F.lit(m), F.array(*[F.lit(_signed((m & (1 << 64) - 1) | b)) for b in subs]))])
+        keyed = save(_dealt(shared.where(hot).select("fp", "mask"), options[F.col("mask")]).distinct())
+
+
+def _dealt(fps: DataFrame, masks: F.Column) -> DataFrame:
+    """fp under each of its masks: mask, key."""
+    return fps.select("fp", F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -236,17 +232,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The row of the smallest id stays; among rows of that id (or if a group has none) that of the least hash of
     id and text; of rows that repeat both, any one.
     """
-    found = save(_grouped(docs, id_col, text_col, shingle, distance).select("doc_id", "row", "root"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    stays = save(found.groupBy("root").agg(first).select(F.col("first.row").alias("row")))
-    goes = save(found.select("row").distinct().join(bounded(stays), "row", "left_anti"))
-    again = save(found.groupBy("row").count().where("count > 1").select("row").join(bounded(stays), "row", "left_semi"))
-    rows = packed(docs, text_col, id=id_col).withColumn("row", F.xxhash64("id", "text")).drop("id", "text")
-    rows = rows.join(bounded(goes), "row", "left_anti")
-    once = rows.join(bounded(again), "row", "left_anti")
-    if not again.isEmpty():
-        once = once.unionByName(rows.join(bounded(again), "row", "left_semi").groupBy("row").agg(F.first("_row").alias("_row")))
-    return unpacked(once)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name")  # rows are told apart by id and hash
+    found = save(_grouped(docs, id_col, text_col, shingle, distance).select("doc_id", name, "row", "root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "name")).alias("first")
+    stays = save(found.groupBy("root").agg(first).select(F.col("first.row").alias("row"), F.col("first.name").alias("name")))
+    keys = ["row", "name"]
+    goes = save(found.select(*keys).distinct().join(bounded(stays), keys, "left_anti"))
+    again = save(found.groupBy(*keys).count().where("count > 1").select(*keys).join(bounded(stays), keys, "left_semi"))
+    rows = packed(docs, text_col, id=id_col).withColumns({"row": F.xxhash64("id", "text"), "name": F.coalesce(F.col("id").cast("string"), F.lit(""))}).drop("id", "text")
+    rows = rows.join(bounded(goes), keys, "left_anti")
+    if again.isEmpty():
+        return unpacked(rows)
+    once = rows.join(bounded(again), keys, "left_semi").groupBy(*keys).agg(F.first("_row").alias("_row"))
+    return unpacked(rows.join(bounded(again), keys, "left_anti").unionByName(once))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -256,7 +254,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     included, or all words if they are fewer. Without words, or with null text, the fingerprint is zero, and
     it links like any other. Rows with one fingerprint are one class, compared once. A null id is never
     the least unless a component has no other. An empty table gives an empty result; other
-    columns are not looked at.
+    columns, whatever their names, are not looked at. Very long texts are split and hashed some MB at a time.
     """
     out = _grouped(docs, id_col, text_col, shingle, distance)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -50,9 +50,9 @@ def test_query(spark, docs):
     assert tuples(simhash.op8_simhash(spark, SF), "doc_id", "fingerprint", "component_id") == brute(rows)
 
 
-@pytest.mark.parametrize("tile", [3, 50, 4096])
-def test_links_join_what_all_pairs_join(spark, tile):
-    rng = random.Random(tile)
+@pytest.mark.parametrize("group", [3, 50, 4096])
+def test_links_join_what_all_pairs_join(spark, group):
+    rng = random.Random(group)
     fps = {rng.getrandbits(64) for _ in range(150)}
     for p in list(fps)[:25]:
         for _ in range(20):
@@ -72,7 +72,7 @@ def test_links_join_what_all_pairs_join(spark, tile):
                 root[find(a)] = find(b)
     signed = {p: p - (1 << 64) if p >> 63 else p for p in fps}
     df = spark.createDataFrame([(signed[p],) for p in fps], "fp long")
-    edges = simhash.links(df, 4, tile)
+    edges = simhash.links(df, 4, group)
     assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in edges.collect())
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     groups = {}
