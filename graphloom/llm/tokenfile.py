@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -130,21 +131,47 @@ _KIND[list(b" \t\n\v\f\r0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrst
 _KIND[list(_MARKS)] = 1
 
 
+#: The normalizer and the splitting pattern with which a text's ids are those of its stretches.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def by_stretches(config: str) -> bool:
+    """Whether a tokenizer (its JSON) lower-cases, drops white space, splits as _SPLIT does, and has special tokens with "<|" only."""
+    t = json.loads(config)
+    steps = (t["pre_tokenizer"] or {}).get("pretokenizers", [])
+    bytes_only = len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    plain = lambda a: "<|" in a["content"] and not any(a[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(map(str.isspace, a["content"]))
+    return (t["normalizer"] or {}).get("normalizers") == _NORMALIZERS and bytes_only and steps[0] == _SPLIT and all(map(plain, t["added_tokens"])) and t["model"]["type"] == "BPE" and not t["model"].get("dropout")
+
+
+class WholeIds:
+    """Token ids of whole texts, by the library alone: for any tokenizer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode(self, raw: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, count of each text) of texts that lie one after another in raw, each with end_id appended."""
+        text, cut = raw.tobytes(), starts.tolist()
+        ids = [[*self.tokenizer.encode(text[a:b].decode(), add_special_tokens=False).ids, end_id] for a, b in zip(cut, cut[1:], strict=False)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+
+
 class WordIds:
     """Token ids of stretches of text: a table sorted by the stretches' hashes, and the library for new ones.
 
-    Only for tokenizers that lower-case, drop white space, and take letters, digits and runs of other signs
-    apart before they merge. A text's ids are then those of its stretches, and most of them occur again and
+    Only for tokenizers that by_stretches knows: they lower-case, drop white space, and take letters, digits and runs
+    of other signs apart before they merge. A text's ids are then those of its stretches, and most of them occur again and
     again. New ones are encoded together, a space between; each token's offset tells whose it is.
     """
 
     #: Stretches beyond which all are forgotten; stretches encoded together; bytes of one that is told apart by place.
     MOST, TOGETHER, LONG = 2_000_000, 4096, 64
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
         self.forget()
 
     def forget(self) -> None:
@@ -214,8 +241,11 @@ class WordIds:
 
 
 @lru_cache(2)
-def encoder(path: str) -> WordIds:
-    return WordIds(path)
+def encoder(path: str) -> WordIds | WholeIds:
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return WordIds(tokenizer) if by_stretches(tokenizer.to_str()) else WholeIds(tokenizer)
 
 
 def _shards(path: str, end_id: int) -> callable:
@@ -243,7 +273,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     binary value (see encode_shard) in a row with its part, the ids before it there, its count of ids and its
     documents' ids: Spark's Parquet writer commits or drops a task's rows as a whole, on any file system that Spark
     knows. Null text counts as empty: such a document is just the end id. An empty table gives a folder without shards.
-    Other columns are not written.
+    Very long texts are shards of their own. Other columns, whatever their names, are not written. `tokenizer` is
+    a JSON file of the tokenizers library: one that by_stretches knows takes the short way of WordIds, any other is
+    asked for whole texts. Special tokens' names in a text become their ids, as the library has it.
     """
     spark = docs.sparkSession
     small_batches(spark)

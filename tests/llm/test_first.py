@@ -63,14 +63,15 @@ def test_targets(spark):
     assert {k: v[0] for k, v in got.items()} == {"a": 1, "b": 2, "c": 3, "d": 1, None: 2}
 
 
+@pytest.mark.parametrize("block", [1 << 24, 4000])
 @pytest.mark.parametrize("which", ["odd", "docs", "none"])
-def test_decontamination(spark, request, which, monkeypatch):
+def test_decontamination(spark, request, which, block, monkeypatch):
     df = request.getfixturevalue(which)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
     extra = [(900, "ALPHA0 beta1"), (901, None), (902, "one"), (None, "one two three"), (903, " - "), (10, "w7919 w15838 W23757 w1665 w9584 w17503 w25422 w3330 w11249 w19168 w27087 w4995")]
     bench = bench.unionByName(spark.createDataFrame(extra, "item_id long, text string"))
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 25)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     want = decontaminate.brute_force(plain(spark, df), items + extra)
     found = decontaminate.contamination(df, bench)
     got = []
@@ -132,6 +133,36 @@ def test_token_output_case(spark):
     assert [r.start for r in sorted(got, key=lambda r: r.doc_id)] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
 
 
+def test_stretches_are_what_the_library_gives():
+    """20,000 random texts: special tokens, mixed case, marks, and white space beyond ASCII."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenfile.default_tokenizer())
+    words, rng = tokenfile.encoder(tokenfile.default_tokenizer()), random.Random(8)
+    assert isinstance(words, tokenfile.WordIds)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "<", "|", "Hello", "the", "THE", "MiXed", "a", "B", "1", "42", "'s", "'T", "'re", "it's", ".", ",", "!?", "...", ":", "#", "$5%", "_", "-", "é", "É", "e\u0301", "\u0301", "ñ", "İ", "ß", "日本", "😀", "\u00a0", "\u3000", "\u2028", "\x85", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\u200b", "Ⅷ", "²", "ǅ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    want = [[*x.ids, 2] for x in t.encode_batch(texts, add_special_tokens=False)]
+    for lo in range(0, len(texts), 1000):
+        raw = [x.encode() for x in texts[lo : lo + 1000]]
+        starts = np.cumsum([0, *map(len, raw)])
+        for encode in (words.encode, tokenfile.WholeIds(t).encode):
+            ids, n = encode(np.frombuffer(b"".join(raw), np.uint8), starts, 2)
+            got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+            assert [x for x in zip(texts[lo : lo + 1000], got, want[lo : lo + 1000]) if x[1] != x[2]] == []
+
+
+def test_other_tokenizers_take_whole_texts():
+    from tokenizers import Tokenizer
+
+    config = Tokenizer.from_file(tokenfile.default_tokenizer()).to_str()
+    assert tokenfile.by_stretches(config)
+    assert not tokenfile.by_stretches(config.replace('"Lowercase"', '"Strip","strip_left":true,"strip_right":true').replace("NFC", "NFD"))
+    assert not tokenfile.by_stretches(config.replace("<|endoftext|>", "[END]"))
+
+
 def test_shard_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 1023, 1024, 1025, 5000):
