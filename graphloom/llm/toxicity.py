@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .common import id_schema, mixed, small_batches
-from .labelled import MOST_PER_CLASS, Adam, class_weights, held_out, sample, sigmoid
+from .labelled import MOST_PER_CLASS, class_weights, held_out, sample, sigmoid
 
-#: Bytes of words' beginnings that are terms besides the words; terms in the model; factors of each.
-PREFIXES, TERMS, FACTORS = (4, 5, 6, 7), 2048, 6
-#: Rows that a term must be in to be considered, and the least chi-squared of one with the label.
-LEAST_ROWS, LEAST_CHI = 8, 25.0
+#: Bytes of words' beginnings that are terms besides the words; places that terms are hashed to, as bits; factors of each.
+PREFIXES, BITS, FACTORS = (4, 5, 6, 7), 18, 6
+#: A term's input: how many standard deviations its share of label 1 is off, less the first, and no more than the second.
+SHRINK, MOST_INPUT = 2.0, 4.0
 IS_WORD = tb.word_table(word_ranges=[(0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
 
 
@@ -37,118 +37,129 @@ def terms(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(rows)
 
 
-class Terms:
-    """The model's terms: which of them, if any, a hash is."""
+def present(raw: np.ndarray, starts: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, place) pairs of the terms of some texts, sorted; with wanted, of those places only."""
+    h, row = terms(raw, starts)
+    place = (h >> np.uint64(64 - BITS)).astype(np.int64)
+    if wanted is not None:
+        near = np.flatnonzero(wanted[place])
+        place, row = place[near], row[near]
+    code = np.unique(row << BITS | place)
+    return code >> BITS, code & ((1 << BITS) - 1)
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
-    def present(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (row, term) pairs of some texts, sorted."""
-        if not len(self.hashes):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        h, row = terms(raw, starts)
-        near = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
-        hit = self.hashes[at] == h[near]
-        code = np.unique(row[near[hit]] * len(self.hashes) + at[hit])
-        return code // len(self.hashes), code % len(self.hashes)
+def inputs(ones: np.ndarray, n: np.ndarray, rate: float) -> np.ndarray:
+    """What a term counts for, if it is in n rows of which `ones` have label 1, while all rows have it at that rate."""
+    off = (ones - n * rate) / np.sqrt(np.maximum((n + 1) * rate * (1 - rate), 1e-9))
+    return np.sign(off) * np.clip(np.abs(off) - SHRINK, 0, MOST_INPUT)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label = batch.column(1).to_numpy()
         for lo, _, raw, starts in tb.chunks(batch.column(0)):
-            h, row = terms(raw, starts)
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
-            once = np.ones(len(h), bool)
-            once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            h, row = h[once], row[once]
-            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-            n = np.diff(np.append(at, len(h)))
-            ones = np.add.reduceat(label[lo + row].astype(np.int64), at) if len(at) else n
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(n), pa.array(ones)], names=["h", "n", "ones"])
-
-
-def _found(known: Terms) -> callable:
+            row, place = present(raw, starts)
+            n, ones = np.bincount(place, minlength=1 << BITS), np.bincount(place, label[lo + row], 1 << BITS).astype(np.int64)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(ones[at])], names=["place", "n", "ones"])
+
+
+def _found(stats) -> callable:
+    """Rows as (label, places, inputs). A row's own label is left out of what its terms' inputs are made of."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones, n, rate = stats.value
         for batch in batches:
+            label = batch.column(1).to_numpy()
             for lo, hi, raw, starts in tb.chunks(batch.column(0)):
-                row, term = known.present(raw, starts)
-                cut = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), pa.array(term.astype(np.int32)))], names=["y", "terms"])
+                row, place = present(raw, starts)
+                x = inputs(ones[place] - label[lo + row], n[place] - 1, rate)
+                row, place, x = (v[x != 0] for v in (row, place, x))
+                cut = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(cut, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(x))], names=["y", "places", "x"])
 
     return run
 
 
 class FactorizationMachine:
-    """score = sigmoid(bias + sum of w over a row's terms + sum of v_i . v_j over its pairs of terms)."""
-
-    def __init__(self, hashes: np.ndarray, seed: int = 7):
-        self.terms = Terms(hashes)
-        n = len(self.terms.hashes)
-        rng = np.random.default_rng(seed)
-        self.p = {"bias": np.zeros(1), "w": np.zeros(n), "v": rng.normal(0, 0.01, (n, FACTORS))}
-
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        p = self.p
-        s = x @ p["v"]
-        return p["bias"] + x @ p["w"] + 0.5 * ((s * s).sum(1) - (x * x) @ (p["v"] ** 2).sum(1))
-
-    def fit(self, rows: list[list[int]], y: np.ndarray, weight: np.ndarray, steps: int = 1500, batch: int = 256, seed: int = 7) -> None:
+    """score = sigmoid(bias + sum of w x over a row's terms + sum of (v_i . v_j) x_i x_j over its pairs of terms)."""
+
+    def __init__(self, x: np.ndarray | None = None, factors: int = FACTORS, seed: int = 7):
+        n = 1 << BITS
+        self.x = np.zeros(n) if x is None else x
+        self.p = {"bias": np.zeros(1), "w": np.full(n, 0.3), "v": np.random.default_rng(seed).normal(0, 0.01, (n, factors))}
+
+    def raw(self, row: np.ndarray, place: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For n rows given by their terms: what the score is the sigmoid of, the terms' factors, and the rows' sums of them."""
+        v = self.p["v"][place] * x[:, None]
+        s = np.stack([np.bincount(row, v[:, f], n) for f in range(v.shape[1])], 1) if v.shape[1] else np.zeros((n, 0))
+        pairs = 0.5 * ((s * s).sum(1) - np.bincount(row, (v * v).sum(1), n))
+        return self.p["bias"][0] + np.bincount(row, self.p["w"][place] * x, n) + pairs, v, s
+
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, steps: int = 1500, batch: int = 256, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> None:
+        """rows: (places, inputs) of each. Gradient steps scaled by the past ones of each term, with a decay of its weights."""
         if not len(y):
             return
+        p = self.p
         share = np.clip((weight * y).sum() / weight.sum(), 1e-3, 1 - 1e-3)
-        self.p["bias"][0] = np.log(share / (1 - share))
-        adam, rng = Adam(self.p, 0.03, 1e-4), np.random.default_rng(seed)
-        n = len(self.terms.hashes)
+        p["bias"][0] = np.log(share / (1 - share))
+        past = {"bias": np.full(1, 1e-4), "w": np.full(len(p["w"]), 1e-4), "v": np.full(len(p["w"]), 1e-4)}
+        size = np.array([len(a) for a, _ in rows])
+        start = np.cumsum(size) - size
+        places, xs = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+        rng = np.random.default_rng(seed)
         for _ in range(-(-steps // -(-len(y) // batch))):
             order = rng.permutation(len(y))
             for lo in range(0, len(y), batch):
                 pick = order[lo : lo + batch]
-                x = np.zeros((len(pick), n))
-                for k, i in enumerate(pick):
-                    x[k, rows[i]] = 1
-                g = weight[pick] * (sigmoid(self.raw(x)) - y[pick]) / len(pick)
-                s = x @ self.p["v"]
-                xg = x * g[:, None]
-                adam.step({"bias": g.sum(keepdims=True), "w": xg.sum(0), "v": xg.T @ s - (x * xg).sum(0)[:, None] * self.p["v"]})
+                row = np.repeat(np.arange(len(pick)), size[pick])
+                at = np.arange(len(row)) + np.repeat(start[pick] - (np.cumsum(size[pick]) - size[pick]), size[pick])
+                place, x = places[at], xs[at]
+                z, v, s = self.raw(row, place, x, len(pick))
+                g = weight[pick] * (sigmoid(z) - y[pick]) / len(pick)
+                gx = g[row] * x
+                some, of = np.unique(place, return_inverse=True)
+                dw = np.bincount(of, gx, len(some)) + decay * p["w"][some]
+                past["bias"] += g.sum() ** 2
+                past["w"][some] += dw**2
+                p["bias"] -= rate * g.sum() / np.sqrt(past["bias"])
+                p["w"][some] -= rate * dw / np.sqrt(past["w"][some])
+                if v.shape[1]:
+                    dv = np.stack([np.bincount(of, gx * (s[row, f] - v[:, f]), len(some)) for f in range(v.shape[1])], 1) + decay * p["v"][some]
+                    past["v"][some] += (dv**2).sum(1)
+                    p["v"][some] -= rate * dv / np.sqrt(past["v"][some])[:, None]
 
     def score(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A row per text; sums over its terms only."""
-        row, term = self.terms.present(raw, starts)
-        n = len(starts) - 1
-        v = self.p["v"][term]
-        s = np.stack([np.bincount(row, v[:, f], n) for f in range(FACTORS)], 1) if n else np.zeros((0, FACTORS))
-        square = np.bincount(row, (v * v).sum(1), n)
-        return sigmoid(self.p["bias"] + np.bincount(row, self.p["w"][term], n) + 0.5 * ((s * s).sum(1) - square))
+        """A row per text; terms whose input is zero add nothing."""
+        row, place = present(raw, starts, self.x != 0)
+        return sigmoid(self.raw(row, place, self.x[place], len(starts) - 1)[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_PER_CLASS) -> FactorizationMachine:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_PER_CLASS, factors: int = FACTORS) -> FactorizationMachine:
     """Learns from at most about `most` labelled rows per class that aren't held out (see labelled.sample).
 
-    The TERMS terms that go with the label most clearly are the model's; without labels it has none.
+    All terms of these rows are hashed to the 2 ** BITS places of the model. A term's input tells how far its rows' share
+    of label 1 is from that of all rows, in standard deviations, shrunk towards zero: no count is required, and
+    none of them is picked. A row is learnt from with inputs that leave its own label out, so that terms which only it has
+    tell nothing. Nulls count as in labelled.sample and score; rows that repeat an id count each; rows of equal terms
+    are taken in any order with the same result; very long texts count as a whole, and a term once in each. Without
+    labels of both classes all scores are equal. Other columns, whatever their names, are not looked at.
     """
     rows, counts = sample(docs, labels, label, id_col, text_col, most)
     totals = rows.agg(F.count("*").alias("n"), F.sum("y").alias("ones")).first()
-    n, ones = totals.n, totals.ones or 0
-    if not n:
-        return FactorizationMachine(np.empty(0, np.uint64))
-    seen = rows.mapInArrow(_count, "h long, n long, ones long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
-    # Chi-squared of the two-by-two table (term or not, label 1 or 0).
-    a, with_term = F.col("ones").cast("double"), F.col("n").cast("double")
-    off = a * n - with_term * ones
-    chi = off * off * n / F.greatest(with_term * (n - with_term) * float(ones * (n - ones)), F.lit(1e-9))
-    best = seen.where(F.col("n") >= LEAST_ROWS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "h").limit(TERMS).collect()
-    model = FactorizationMachine(np.array([r.h for r in best], np.int64).view(np.uint64))
-    found = rows.mapInArrow(_found(model.terms), "y int, terms array<int>").collect()
+    if not totals.n or totals.ones in (0, totals.n):
+        return FactorizationMachine(factors=factors)
+    seen = rows.mapInArrow(_count, "place long, n long, ones long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toArrow()  # 2 ** BITS rows at most
+    n, ones = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    place = seen["place"].to_numpy()
+    n[place], ones[place] = seen["n"].to_numpy(), seen["ones"].to_numpy()
+    rate = totals.ones / totals.n
+    stats = docs.sparkSession.sparkContext.broadcast((ones, n, rate))
     # Rows in an order that doesn't hang on how tasks ended.
-    found.sort(key=lambda r: (r.terms, r.y))
-    y = np.array([r.y for r in found], np.float64)
-    model.fit([r.terms for r in found], y, class_weights(y, counts))
+    found = sorted((r.places, r.x, r.y) for r in rows.mapInArrow(_found(stats), "y int, places array<int>, x array<double>").collect())
+    model = FactorizationMachine(np.where(n > 0, inputs(ones, n, rate), 0.0), factors)
+    y = np.array([k for *_, k in found], np.float64)
+    model.fit([(np.array(a, np.int64), np.array(x, np.float64)) for a, x, _ in found], y, class_weights(y, counts))
     return model
 
 
@@ -162,7 +173,11 @@ def _scored(model) -> callable:
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, score from 0 to 1 of its whole text. Null text counts as empty; an empty table gives none."""
+    """One row per row of docs: doc_id, score from 0 to 1 of its whole text.
+
+    Null text counts as empty; rows are scored one by one, repeated ones alike, very long ones as a whole; an empty table
+    gives none; other columns, whatever their names, are not looked at.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"))
     return rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), id_schema(rows.schema[1].dataType, "score double"))
