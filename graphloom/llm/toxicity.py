@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,12 @@ def _found(stats) -> callable:
                 x = inputs(ones[place] - label[lo + row], n[place] - 1, rate)
                 row, place, x = (v[x != 0] for v in (row, place, x))
                 cut = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(cut, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(x))], names=["y", "places", "x"])
+                told = np.zeros(hi - lo, np.uint64)
+                np.add.at(told, row, mixed(place.astype(np.uint64) + np.uint64(1)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).slice(lo, hi - lo), pa.array(told.view(np.int64)), pa.ListArray.from_arrays(cut, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(x.astype(np.float32)))],
+                    names=["y", "told", "places", "x"],
+                )
 
     return run
 
@@ -96,17 +102,15 @@ class FactorizationMachine:
         pairs = 0.5 * ((s * s).sum(1) - np.bincount(row, (v * v).sum(1), n))
         return self.p["bias"][0] + np.bincount(row, self.p["w"][place] * x, n) + pairs, v, s
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, steps: int = 1500, batch: int = 256, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> None:
-        """rows: (places, inputs) of each. Gradient steps scaled by the past ones of each term, with a decay of its weights."""
+    def fit(self, size: np.ndarray, places: np.ndarray, xs: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 1500, batch: int = 256, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> None:
+        """size: how many terms each row has; their places and inputs one row after another. Gradient steps scaled by the past ones of each term, with a decay of its weights."""
         if not len(y):
             return
         p = self.p
         share = np.clip((weight * y).sum() / weight.sum(), 1e-3, 1 - 1e-3)
         p["bias"][0] = np.log(share / (1 - share))
         past = {"bias": np.full(1, 1e-4), "w": np.full(len(p["w"]), 1e-4), "v": np.full(len(p["w"]), 1e-4)}
-        size = np.array([len(a) for a, _ in rows])
         start = np.cumsum(size) - size
-        places, xs = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
         rng = np.random.default_rng(seed)
         for _ in range(-(-steps // -(-len(y) // batch))):
             order = rng.permutation(len(y))
@@ -155,11 +159,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     n[place], ones[place] = seen["n"].to_numpy(), seen["ones"].to_numpy()
     rate = totals.ones / totals.n
     stats = docs.sparkSession.sparkContext.broadcast((ones, n, rate))
-    # Rows in an order that doesn't hang on how tasks ended.
-    found = sorted((r.places, r.x, r.y) for r in rows.mapInArrow(_found(stats), "y int, places array<int>, x array<double>").collect())
+    # Some rows per class, as Arrow; in an order that doesn't hang on how tasks ended.
+    found = rows.mapInArrow(_found(stats), "y int, told long, places array<int>, x array<float>").toArrow().combine_chunks()
+    found = found.sort_by([("told", "ascending"), ("y", "ascending")]).combine_chunks()
     model = FactorizationMachine(np.where(n > 0, inputs(ones, n, rate), 0.0), factors)
-    y = np.array([k for *_, k in found], np.float64)
-    model.fit([(np.array(a, np.int64), np.array(x, np.float64)) for a, x, _ in found], y, class_weights(y, counts))
+    y = found["y"].to_numpy().astype(np.float64)
+    size = pc.list_value_length(found["places"]).to_numpy().astype(np.int64)
+    places, xs = (pc.list_flatten(found[c]).to_numpy() for c in ("places", "x"))
+    model.fit(size, places.astype(np.int64), xs.astype(np.float64), y, class_weights(y, counts))
     return model
 
 
