@@ -50,6 +50,10 @@ def resolve(df: DataFrame, path: str, like: Any = None) -> Column:
         if "properties" not in df.columns:
             return F.lit(None).cast("string")
         raw = F.try_element_at("properties", F.lit(rest))
+        if "." in rest:  # a key with dots, or a path into a value that is JSON, at any depth
+            key, _, inner = rest.partition(".")
+            steps = "".join(f"['{x}']" for x in inner.split("."))
+            raw = F.coalesce(raw, F.get_json_object(F.try_element_at("properties", F.lit(key)), f"${steps}"))
         if isinstance(like, (list, tuple)) and like:
             like = like[0]
         if isinstance(like, bool):
@@ -145,5 +149,12 @@ def search(text: str) -> Column:
     return F.contains(F.lower("label"), F.lit(text.lower())) | F.contains(F.lower("type"), F.lit(text.lower()))
 
 
+def inside_box(df: DataFrame, south: float, west: float, north: float, east: float, lat: str = "properties.lat", lon: str = "properties.lon") -> Column:
+    """Whether a place is in a box; one whose west is east of its east goes over the date line. No place, no hit."""
+    y, x = resolve(df, lat, 0.0).try_cast("double"), resolve(df, lon, 0.0).try_cast("double")
+    across = x.between(west, east) if west <= east else (x >= west) | (x <= east)
+    return _false(y.between(south, north) & across)
+
+
 def not_deleted() -> Column:
     return F.col("deleted_at").isNull()

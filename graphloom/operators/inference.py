@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.predicates import Filter, all_of, candidates
@@ -75,44 +75,73 @@ def _entities_of(entities: DataFrame, node: Node) -> DataFrame | None:
     return rows.select(F.col("id").alias(f"{node.var}_id"))
 
 
-def matches(entities: DataFrame, relations: DataFrame, pattern: Pattern, first_per_anchor: bool = False, check_entities: bool = True) -> DataFrame:
+def _alias_links(entities: DataFrame, pairs: bool) -> DataFrame:
+    """a, b: entities with an alias in common, a < b.
+
+    Each entity of an alias is tied to the least one that has it: as many links as entities, and whoever shares an alias
+    meets in the least one. With pairs, every pair of an alias, which for a common one is the square of its entities.
+    """
+    one = entities.select("id", F.explode(F.array_distinct("aliases")).alias("alias"))
+    first = one.select(F.col("id").alias("a"), "alias") if pairs else one.groupBy("alias").agg(F.min("id").alias("a"))
+    return first.join(one.select(F.col("id").alias("b"), "alias"), "alias").where("a < b").select("a", "b").distinct()
+
+
+def matches(
+    entities: DataFrame,
+    relations: DataFrame,
+    pattern: Pattern,
+    first_per_anchor: bool = False,
+    check_entities: bool = True,
+    per_edge: Sequence[DataFrame] | None = None,
+    alias_pairs: bool = False,
+    most_crossed: int = 0,
+) -> DataFrame:
     """A row per match, with <var>_id for each variable. Every relation joins on exactly its two variables.
 
-    Relations are joined in an order in which each shares a variable with those before; patterns whose parts
-    aren't linked are refused. Variables that may be any entity cost no join if check_entities is off.
+    Relations are joined in an order in which each shares a variable with those before. Parts of a pattern that nothing
+    links are combined only if that makes most_crossed rows at most, which is counted first; else it is an error.
+    Variables that may be any entity cost no join if check_entities is off. per_edge gives each relation of
+    the pattern rows of its own. For alias_pairs see _alias_links.
     """
     by_var = {n.var: n for n in pattern.nodes}
+    out, bound = None, set()
     if pattern.same_alias:
         a, b = pattern.same_alias
-        one = entities.select("id", F.explode(F.array_distinct("aliases")).alias("alias"))
-        out = one.select(F.col("id").alias(f"{a}_id"), "alias").join(one.select(F.col("id").alias(f"{b}_id"), "alias"), "alias").where(F.col(f"{a}_id") < F.col(f"{b}_id")).select(f"{a}_id", f"{b}_id").distinct()
+        out = _alias_links(entities, alias_pairs).select(F.col("a").alias(f"{a}_id"), F.col("b").alias(f"{b}_id"))
         bound = {a, b}
-    elif pattern.edges:
-        out, bound = None, set()
-    else:
-        if len(pattern.nodes) != 1:
+
+    def crossed(left: DataFrame | None, right: DataFrame) -> DataFrame:
+        if left is None:
+            return right
+        left, right = cut(left), cut(right)
+        if left.count() * right.count() > most_crossed:
             raise ValueError("variables without a relation between them")
-        rows = _entities_of(entities, pattern.nodes[0])
-        return entities.select(F.col("id").alias(f"{pattern.nodes[0].var}_id")) if rows is None else rows
-    waiting = list(pattern.edges)
+        return left.crossJoin(right)
+
+    def may_be(var: str) -> DataFrame:
+        rows = _entities_of(entities, by_var[var]) if var in by_var else None
+        return entities.select(F.col("id").alias(f"{var}_id")) if rows is None else rows
+
+    waiting = list(zip(pattern.edges, per_edge or [relations] * len(pattern.edges), strict=True))
     while waiting:
-        edge = next((e for e in waiting if not bound or {e.source, e.target} & bound), None)
-        if edge is None:
-            raise ValueError("variables without a relation between them")
-        waiting.remove(edge)
-        rows = relations if edge.type is None else relations.where(F.col("type") == edge.type)
+        linked = next((e for e in waiting if not bound or {e[0].source, e[0].target} & bound), None)
+        edge, rows = linked or waiting[0]
+        waiting.remove(linked or waiting[0])
+        rows = rows if edge.type is None else rows.where(F.col("type") == edge.type)
         s, t = f"{edge.source}_id", f"{edge.target}_id"
         if edge.source == edge.target:
             rows = rows.where("source_id = target_id").select(F.col("source_id").alias(s))
         else:
             rows = rows.select(F.col("source_id").alias(s), F.col("target_id").alias(t))
         for var in {edge.source, edge.target} - bound:
-            if var in by_var and (may := _entities_of(entities, by_var[var])) is not None:
-                rows = rows.join(may, f"{var}_id", "left_semi")
-            elif check_entities:
-                rows = rows.join(entities.select(F.col("id").alias(f"{var}_id")), f"{var}_id", "left_semi")
-        out = rows if out is None else out.join(rows, [f"{v}_id" for v in {edge.source, edge.target} & bound])
+            if check_entities or var in by_var and _entities_of(entities, by_var[var]) is not None:
+                rows = rows.join(may_be(var), f"{var}_id", "left_semi")
+        out = rows if out is None else out.join(rows, [f"{v}_id" for v in {edge.source, edge.target} & bound]) if linked else crossed(out, rows)
         bound |= {edge.source, edge.target}
+    for node in pattern.nodes:
+        if node.var not in bound:
+            out = crossed(out, may_be(node.var))
+            bound.add(node.var)
     names = [f"{n.var}_id" for n in pattern.nodes]
     out = out.select(*names)
     if pattern.distinct_vars:
@@ -120,16 +149,16 @@ def matches(entities: DataFrame, relations: DataFrame, pattern: Pattern, first_p
             for b in names[i + 1 :]:
                 out = out.where(F.col(a) != F.col(b))
     if first_per_anchor:
-        order = Window.partitionBy(names[0]).orderBy(*names[1:])
-        out = out.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+        rest = F.min(F.struct(*names[1:])) if names[1:] else F.lit(None)
+        out = out.groupBy(names[0]).agg(rest.alias("_rest")).select(names[0], *[F.col(f"_rest.{n}").alias(n) for n in names[1:]])
     return out
 
 
 TRIPLE = ["source_id", "type", "target_id"]
 
 
-def _derive(entities: DataFrame, relations: DataFrame, rule: Rule, place: int) -> DataFrame:
-    found = matches(entities, relations, rule.pattern)
+def _derive(entities: DataFrame, relations: DataFrame, rule: Rule, place: int, per_edge: Sequence[DataFrame] | None = None) -> DataFrame:
+    found = matches(entities, relations, rule.pattern, per_edge=per_edge, alias_pairs=bool(rule.options.get("alias_pairs")), most_crossed=rule.options.get("most_crossed", 0))
     names = [F.col(f"{n.var}_id") for n in rule.pattern.nodes]
     return found.select(
         F.col(f"{rule.source}_id").alias("source_id"),
@@ -146,8 +175,8 @@ def infer(entities: DataFrame, relations: DataFrame, rules: Sequence[Rule], max_
 
     A triple that exists is not derived; of several derivations the first rule's, then the least match, counts.
     Each iteration matches against all that is known; after the first, only matches that need a triple of the last
-    iteration can be new, so two-relation rules join old and new parts separately. Ends when nothing is
-    new, or after max_iterations.
+    iteration can be new, so a rule is matched once for each relation of its pattern, with that one taken from the
+    last iteration's triples. Ends when nothing is new, or after max_iterations.
     """
     chosen = [(i, r) for i, r in enumerate(rules) if (rule_ids is None or r.id in rule_ids) and confidence(r) >= threshold]
     spark = entities.sparkSession
@@ -177,18 +206,8 @@ def infer(entities: DataFrame, relations: DataFrame, rules: Sequence[Rule], max_
 def _new_matches(entities: DataFrame, known: DataFrame, delta: DataFrame, rule: Rule, place: int, iteration: int) -> list[DataFrame]:
     if iteration == 1:
         return [_derive(entities, known, rule, place)]
-    if rule.pattern.same_alias and not rule.pattern.edges:
-        return []
-    if len(rule.pattern.edges) != 2 or len({e.type for e in rule.pattern.edges}) != 1 or rule.pattern.edges[0].type is None:
-        return [_derive(entities, known, rule, place)]
-    # The part of a relation's name that says which table it reads: "old" matches all, "new" the last iteration's.
-    a, b = rule.pattern.edges
-    tagged = known.withColumn("type", F.concat(F.lit("all:"), "type")).unionByName(delta.withColumn("type", F.concat(F.lit("new:"), "type")))
-    out = []
-    for x, y in (("new:", "all:"), ("all:", "new:")):
-        pattern = replace(rule.pattern, edges=(replace(a, type=x + a.type), replace(b, type=y + b.type)))
-        out.append(_derive(entities, tagged, replace(rule, pattern=pattern), place))
-    return out
+    edges = range(len(rule.pattern.edges))
+    return [_derive(entities, known, rule, place, [delta if j == i else known for j in edges]) for i in edges]
 
 
 def applied(derived: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -217,7 +236,8 @@ def as_relations(derived: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
-def explain(relations: DataFrame, source_id: str, target_id: str) -> DataFrame:
-    """Steps behind the derived relations from one entity to another."""
-    rows = relations.where((F.col("source_id") == source_id) & (F.col("target_id") == target_id) & F.col("properties")["inferredBy"].isNotNull())
+def explain(relations: DataFrame, source_id: str, target_id: str | None = None) -> DataFrame:
+    """Steps behind the derived relations from one entity to another, or to any."""
+    to = F.lit(True) if target_id is None else F.col("target_id") == target_id
+    rows = relations.where((F.col("source_id") == source_id) & to & F.col("properties")["inferredBy"].isNotNull())
     return rows.select(F.col("properties")["inferredBy"].alias("rule_id"), F.col("properties")["derivationPath"].alias("derivation_path"), "type", F.col("weight").alias("confidence"))

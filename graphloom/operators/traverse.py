@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from graphloom.functions.predicates import Filter, where
 from graphloom.sources.scratch import cut
 
+#: Nodes of a frontier that are broadcast: their ids, positions and paths take some hundred bytes each.
+BROADCAST_IDS = 20_000
 Condition = Sequence[Filter] | Column | Callable[[DataFrame], Column] | None
 
 
@@ -89,7 +91,8 @@ def traverse(
     A node that the filter refuses is neither returned nor expanded. Of several ways to a node the first in queue
     order counts. That order is the order of the list of relations (by seq, then id) on the way, so it is kept as
     an array and the least one per node is found by a plain aggregate. The frontier and the visited ids, not entities,
-    go through the loop; each level is checkpointed, so plans stay small.
+    go through the loop; each level is checkpointed, so plans stay small. A frontier of at most BROADCAST_IDS nodes is sent
+    to the scans of relations and entities, which keep just what it touches before anything is shuffled.
     """
     spark = entities.sparkSession
     usable = relations.where(F.col("type").isin(list(relation_types))) if relation_types else relations
@@ -102,22 +105,42 @@ def traverse(
         unique = list(dict.fromkeys(start_ids))
         starts = spark.createDataFrame([(x, i) for i, x in enumerate(unique)], "id string, at int")
     first = F.concat(F.format_string("%09d", F.col("at")), F.lit("|"), F.col("id"))
-    frontier = cut(starts.join(allowed, "id", "left_semi").select("id", F.lit(0).alias("depth"), F.array(first).alias("pos"), F.array("id").alias("path")))
-    nodes = frontier
-    for depth in range(1, max_depth + 1):
+    frontier = starts.select("id", F.lit(0).alias("depth"), F.array(first).alias("pos"), F.array("id").alias("path"))
+    frontier, n = _known(cut(frontier) if isinstance(start_ids, DataFrame) else frontier, allowed)
+    nodes, n_expanded = frontier, n
+    for depth in range(1, max_depth + 1 if n else 1):
         key = F.concat(F.format_string("%019d", F.col("seq")), F.lit("|"), F.col("rel_id"))
-        steps = frontier.join(adj, frontier["id"] == adj["src"]).select(F.col("dst").alias("id"), F.struct(F.concat("pos", F.array(key)).alias("pos"), F.concat("path", F.array("dst")).alias("path")).alias("way"))
+        few = n <= BROADCAST_IDS
+        near = touching(adj, frontier, few).join(F.broadcast(frontier) if few else frontier, F.col("src") == frontier["id"])
+        steps = near.select(F.col("dst").alias("id"), F.struct(F.concat("pos", F.array(key)).alias("pos"), F.concat("path", F.array("dst")).alias("path")).alias("way"))
         found = steps.groupBy("id").agg(F.min("way").alias("way"))
-        found = found.join(nodes.select("id"), "id", "left_anti").join(allowed, "id", "left_semi")
-        frontier = cut(found.select("id", F.lit(depth).alias("depth"), F.col("way.pos").alias("pos"), F.col("way.path").alias("path")))
-        if frontier.isEmpty():
+        found = cut(found.join(nodes.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), F.col("way.pos").alias("pos"), F.col("way.path").alias("path")))
+        frontier, n = _known(found, allowed)
+        if not n:
             break
         nodes = nodes.unionByName(frontier)
-    expanded = nodes.where(F.col("depth") < max_depth).select(F.col("id").alias("src"))
-    edges = adj.join(expanded, "src", "left_semi").select(F.col("rel_id").alias("id"), "source_id", "target_id", "type", "direction")
+        if depth < max_depth:
+            n_expanded += n
+    expanded = nodes.where(F.col("depth") < max_depth).select("id")
+    edges = touching(adj, expanded, n_expanded <= BROADCAST_IDS).select(F.col("rel_id").alias("id"), "source_id", "target_id", "type", "direction")
     return Traversal(nodes, edges)
 
 
+def touching(adj: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
+    """Rows of adj whose src is one of ids; a semi-join, which Spark moves below unions and distincts to the scans."""
+    src = ids.select(F.col("id").alias("src"))
+    return adj.join(F.broadcast(src) if few else src, "src", "left_semi")
+
+
+def _known(found: DataFrame, allowed: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of found whose id is allowed, checkpointed, and how many. Few ids are sent to the entities' scans, not the other way round."""
+    if found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        # Ids of entities are unique, so what is left of them is as few.
+        allowed = F.broadcast(allowed.join(F.broadcast(found.select("id")), "id", "left_semi"))
+    kept = cut(found.join(allowed, "id", "left_semi"))
+    return kept, kept.count()
+
+
 def page(df: DataFrame, order: Sequence[Column | str], limit: int | None = None, offset: int = 0, default: int = 100) -> DataFrame:
     """Rows offset..offset+limit of an order; no limit means the default, 0 means none."""
     return df.orderBy(*order).offset(offset).limit(default if limit is None else limit)

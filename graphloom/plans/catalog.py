@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import clocks, similarity
+from graphloom.functions import clocks, predicates, similarity
 from graphloom.functions.predicates import Filter, all_of, candidates, not_deleted, resolve, search
 from graphloom.operators import aggregate as agg
 from graphloom.operators import inference as inf
 from graphloom.operators import layout, merge, mutate, oplog, traverse, vector
-from graphloom.sources import store
-from graphloom.sources.tables import entities, read, relations, sql_entities, sql_relations
+from graphloom.sources import scratch, store
+from graphloom.sources.tables import KINDS, PropertyGraph, entities, read, relations, sql_entities, sql_relations
+from graphloom.plans.engine import GraphEngine
 from graphloom.streaming import fold as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,20 +94,53 @@ def relations_by_type(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/graphloom-store-{os.urandom(6).hex()}"
+    return f"{scratch.folder(spark)}/graphloom-store-{os.urandom(6).hex()}"
 
 
-@query(with_graph(f"SELECT {_FLAT} FROM E", ("region", "nation", "supplier")))
+@query(with_graph(f"SELECT {_FLAT} FROM E"))
 def store_roundtrip(spark, d):
-    from graphloom.sources.tables import PropertyGraph
+    with store.open_store(spark, "parquet", _folder(spark)) as kept:
+        kept.save("g", PropertyGraph.of_tables(spark, d))
+        return _flat(kept.load("g").entities)
+
 
+@query(with_graph(f"SELECT {_REL} FROM R WHERE type = 'part_of'"))
+def store_relations_by_type(spark, d):
     kept = store.open_store(spark, "parquet", _folder(spark))
-    kept.save("g", PropertyGraph.of_tables(spark, d, ("region", "nation", "supplier"), ("nation_region", "supplier_nation")))
-    return _flat(kept.load("g").entities)
+    kept.save("g", PropertyGraph.of_tables(spark, d))
+    return _rel(kept.relations_by_type("g", "part_of"))
+
 
+@query(with_graph(f"SELECT {_FLAT} FROM E WHERE type = 'person'"))
+def store_entities_by_type(spark, d):
+    kept = store.open_store(spark, "memory")
+    kept.save("g", PropertyGraph.of_tables(spark, d))
+    return _flat(kept.entities_by_type("g", "person"))
 
-@query("SELECT 'part:' || p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name END AS label FROM part UNION ALL SELECT 'part:x' || p_partkey, 'new ' || p_name FROM part WHERE p_partkey % 5 = 0")
+
+@query(
+    """
+SELECT 'nation:' || n_nationkey AS id, upper(n_name) || '!' AS label FROM nation WHERE n_regionkey <> 2
+UNION ALL SELECT 'nation:new', 'Atlantis'
+"""
+)
+def store_rows(spark, d):
+    """Rows put into a stored graph and deleted from it by id: labels change, one is new, those of one region go."""
+    kept = store.open_store(spark, "parquet", _folder(spark))
+    e = entities(spark, d, "nation")
+    kept.save("g", PropertyGraph(e, relations(spark, d, "nation_region")))
+    new = e.limit(1).withColumns({"id": F.lit("nation:new"), "label": F.lit("Atlantis")})
+    kept.put("g", e.withColumn("label", F.concat(F.upper("label"), F.lit("!"))).unionByName(new))
+    kept.delete("g", e.where("p_regionkey = 2").select("id"))
+    return kept.load("g").entities.select("id", "label")
+
+
+@query(
+    """
+SELECT 'part:' || p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name END AS label FROM part
+UNION ALL SELECT 'part:x' || p_partkey, 'new ' || p_name FROM part WHERE p_partkey % 5 = 0
+"""
+)
 def import_upsert(spark, d):
     old = entities(spark, d, "part")
     key = F.split("id", ":")[1].cast("long")
@@ -115,20 +149,28 @@ def import_upsert(spark, d):
     return mutate.upsert(old, new.unionByName(more)).select("id", "label")
 
 
-@query()
+@query(with_graph("SELECT to_json({'id': id, 'type': type, 'label': label, 'tags': tags, 'version': 1, 'confidence': 1.0::DOUBLE, 'created_at': 0, 'seq': seq})::VARCHAR AS value FROM E"))
 def export_json(spark, d):
-    return store.as_json(entities(spark, d, "region", "nation"))
+    return store.as_json(entities(spark, d).select("id", "type", "label", "tags", "version", "confidence", "created_at", "seq"))
 
 
-@query(with_graph(f"SELECT {_FLAT} FROM E", ("nation", "customer")))
+@query(with_graph(f"SELECT {_FLAT} FROM E"))
 def json_roundtrip(spark, d):
-    e = entities(spark, d, "nation", "customer")
+    e = entities(spark, d)
     return _flat(store.of_json(store.as_json(e), e))
 
 
-@query(with_graph("SELECT (SELECT count(*) FROM E) AS entity_count, (SELECT count(*) FROM R) AS relation_count", ("region", "nation", "customer"), ("nation_region", "customer_nation")))
+@query(with_graph(f"SELECT {_REL} FROM R"))
+def bundle_roundtrip(spark, d):
+    """Entities, relations and a manifest as JSON files, and back."""
+    folder, graph = _folder(spark), PropertyGraph.of_tables(spark, d)
+    store.export_bundle(graph, folder)
+    return _rel(store.import_bundle(spark, folder, graph).relations)
+
+
+@query(with_graph("SELECT (SELECT count(*) FROM E) AS entity_count, (SELECT count(*) FROM R) AS relation_count"))
 def storage_stats(spark, d):
-    return store.storage_stats(entities(spark, d, "region", "nation", "customer"), relations(spark, d, "nation_region", "customer_nation")).select("entity_count", "relation_count")
+    return store.storage_stats(entities(spark, d), relations(spark, d)).select("entity_count", "relation_count")
 
 
 @query(with_graph("SELECT id, source_id AS source, target_id AS target, type, weight, false AS bidirectional FROM R"))
@@ -136,19 +178,54 @@ def visualize_edges(spark, d):
     return store.drawing_edges(relations(spark, d))
 
 
-@query()
+@query(with_graph("SELECT id, label, type FROM E"))
+def visualize_nodes(spark, d):
+    return store.drawing_nodes(entities(spark, d)).select("id", "label", "type")
+
+
+def _props_sql(kind: str) -> str:
+    table, key, _, _, props, _ = KINDS[kind]
+    fields = ", ".join(f"'{p}', {c}::VARCHAR" for p, c in props.items())
+    return f"SELECT '{kind}:' || {key} AS id, {f'json_object({fields})::VARCHAR' if props else repr('{}')} AS properties FROM {table}"
+
+
+_CSV_KINDS = [k for k in KINDS if k not in ("customer", "supplier", "part", "order")]
+_CSV = " UNION ALL ".join(map(_props_sql, _CSV_KINDS))
+
+
+@query(with_graph(f"SELECT E.id, type, label, properties, array_to_string(tags, ';') AS tags, 1::BIGINT AS version, 1.0::DOUBLE AS confidence FROM E JOIN ({_CSV}) p ON E.id = p.id", tuple(_CSV_KINDS)))
 def export_csv(spark, d):
-    return store.csv_rows(entities(spark, d, "nation", "part"))
+    """Of the kinds whose properties are no decimals: engines write those differently."""
+    return store.csv_rows(entities(spark, d, *_CSV_KINDS))
+
 
+_XML_SQL = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
-@query(with_graph("SELECT '<edge id=\"' || id || '\" source=\"' || source_id || '\" target=\"' || target_id || '\"><data key=\"type\">' || type || '</data></edge>' AS value FROM R", ("region",), ("nation_region",)))
+
+@query(
+    with_graph(
+        f"""
+SELECT '<node id="' || {_XML_SQL.format("id")} || '"><data key="type">' || type || '</data><data key="label">' || {_XML_SQL.format("label")} || '</data></node>' AS value FROM E
+UNION ALL
+SELECT '<edge id="' || id || '" source="' || source_id || '" target="' || target_id || '"><data key="type">' || type || '</data></edge>' FROM R
+"""
+    )
+)
 def export_graphml(spark, d):
-    return store.graphml(entities(spark, d, "region"), relations(spark, d, "nation_region")).where(F.col("value").startswith("<edge"))
+    return store.graphml(entities(spark, d), relations(spark, d))
 
 
-@query(with_graph("SELECT '<urn:' || source_id || '> <urn:' || type || '> <urn:' || target_id || '> .' AS value FROM R UNION ALL SELECT '<urn:' || id || '> <urn:type> <urn:' || type || '> .' FROM E UNION ALL SELECT '<urn:' || id || '> <urn:label> \"' || label || '\" .' FROM E", ("region", "nation"), ("nation_region",)))
+@query(
+    with_graph(
+        r"""
+SELECT '<urn:' || source_id || '> <urn:' || type || '> <urn:' || target_id || '> .' AS value FROM R
+UNION ALL SELECT '<urn:' || id || '> <urn:type> <urn:' || type || '> .' FROM E
+UNION ALL SELECT '<urn:' || id || '> <urn:label> "' || replace(replace(label, '\', '\\'), '"', '\"') || '" .' FROM E
+"""
+    )
+)
 def export_rdf(spark, d):
-    return store.rdf(entities(spark, d, "region", "nation"), relations(spark, d, "nation_region"))
+    return store.rdf(entities(spark, d), relations(spark, d))
 
 
 # Changes
@@ -251,12 +328,28 @@ def pattern_constraint(spark, d):
     return inf.matches(entities(spark, d, "customer", "nation"), relations(spark, d, "customer_nation"), p)
 
 
-@query("SELECT 'part:' || p_partkey AS id FROM part WHERE contains(lower(p_name), 'brand#2') OR (p_partkey < 200 AND contains(lower(p_brand), 'brand#2'))")
+@query("SELECT 'part:' || p_partkey AS id FROM part WHERE contains(lower(p_name), 'brand#2') OR contains(lower(p_brand), 'brand#2')")
 def candidate_label(spark, d):
-    e = entities(spark, d, "part").withColumn("aliases", F.when(F.col("seq") % 10**12 < 200, F.array("p_brand")).otherwise(F.array().cast("array<string>")))
+    """Parts, each of which has its brand as an alias."""
+    e = entities(spark, d, "part").withColumn("aliases", F.array("p_brand"))
     return e.where(candidates(e, "BRAND#2", "resource")).select("id")
 
 
+@query("SELECT 'part:' || p_partkey AS id FROM part WHERE p_size BETWEEN 10 AND 20 AND (p_retailprice >= 1500 OR p_retailprice <= 950)")
+def inside_box(spark, d):
+    """A box over the date line, with sizes and prices for degrees."""
+    e = entities(spark, d, "part")
+    return e.where(predicates.inside_box(e, 10, 1500, 20, 950, "properties.size", "properties.retailprice")).select("id")
+
+
+@query("SELECT 'event:' || event_id AS id, (props->>'k')::DOUBLE AS k FROM events WHERE (props->>'k')::DOUBLE < 20")
+def nested_path(spark, d):
+    """A path of three steps into a property whose value is JSON."""
+    raw = F.to_json(F.struct(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k")).alias("b")))
+    e = read(spark, d, "events").select(F.concat(F.lit("event:"), "event_id").alias("id"), F.create_map(F.lit("a"), raw).alias("properties"))
+    return e.where(all_of(e, [Filter("properties.a.b.k", "lt", 20)])).select("id", resolve(e, "properties.a.b.k", 0.0).alias("k"))
+
+
 @query(with_graph("SELECT id FROM E WHERE contains(lower(label), 'er') OR contains(lower(type), 'er')", ("customer", "nation", "supplier")))
 def search_label(spark, d):
     return entities(spark, d, "customer", "nation", "supplier").where(search("ER")).select("id")
@@ -279,10 +372,10 @@ def list_relations(spark, d):
 # Traversal
 
 
-@query(with_graph("SELECT id, 'customer:7' AS node_id FROM R WHERE source_id = 'customer:7' OR target_id = 'customer:7'", ("region",), ("customer_nation", "order_customer")))
+@query(with_graph("SELECT id, 'customer:7' AS node_id FROM R WHERE source_id = 'customer:7' OR target_id = 'customer:7'"))
 def incident_relations(spark, d):
     ids = spark.createDataFrame([("customer:7",)], "id string")
-    return traverse.incident(relations(spark, d, "customer_nation", "order_customer"), ids).select("id", "node_id")
+    return traverse.incident(relations(spark, d), ids).select("id", "node_id")
 
 
 @query(with_graph("SELECT id, target_id FROM R WHERE source_id IN ('order:1', 'order:5', 'customer:7')"))
@@ -297,9 +390,16 @@ def incoming_relations(spark, d):
     return traverse.incoming(relations(spark, d), ids).select("id", "source_id")
 
 
-@query(with_graph("SELECT source_id AS src, target_id AS dst, 'outbound' AS direction, id AS rel_id FROM R UNION ALL SELECT target_id, source_id, 'inbound', id FROM R", ("region",), ("nation_region", "supplier_nation", "vec_ring")))
+@query(
+    with_graph(
+        """
+SELECT source_id AS src, target_id AS dst, 'outbound' AS direction, id AS rel_id FROM R
+UNION ALL SELECT target_id, source_id, 'inbound', id FROM R
+"""
+    )
+)
 def adjacency_both(spark, d):
-    return traverse.adjacency(relations(spark, d, "nation_region", "supplier_nation", "vec_ring"), ["both"]).select("src", "dst", "direction", "rel_id")
+    return traverse.adjacency(relations(spark, d), ["both"]).select("src", "dst", "direction", "rel_id")
 
 
 def bfs_sql(starts: list[str], depth: int, select: str, adj: str = "SELECT source_id AS src, target_id AS dst, id AS rel_id, seq, source_id, target_id, 'outbound' AS direction FROM R", node: str = "true", kinds: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> str:
@@ -328,44 +428,46 @@ def traverse_edges(spark, d):
     return traverse.traverse(entities(spark, d), relations(spark, d), ["order:0", "order:1"], 2).edges.select("id", "source_id", "target_id")
 
 
-_SUPPLY = ("supplier", "nation", "region", "customer")
-_PLACES = ("nation_region", "customer_nation", "supplier_nation")
+_PLACES_ONLY = _BOTH.replace("FROM R", "FROM R WHERE type IN ('part_of', 'located_in')")
 
 
-@query(bfs_sql(["region:1"], 2, "SELECT id, depth FROM N", _BOTH.replace("FROM R", "FROM R WHERE type IN ('part_of', 'located_in')"), kinds=_SUPPLY, names=_PLACES))
+@query(bfs_sql(["region:1"], 2, "SELECT id, depth FROM N", _PLACES_ONLY))
 def traverse_filtered(spark, d):
     """Both directions, two types of relations."""
-    return traverse.traverse(entities(spark, d, *_SUPPLY), relations(spark, d, *_PLACES), ["region:1"], 2, ["both"], ["part_of", "located_in"]).nodes.select("id", "depth")
+    return traverse.traverse(entities(spark, d), relations(spark, d), ["region:1"], 2, ["both"], ["part_of", "located_in"]).nodes.select("id", "depth")
 
 
-@query(bfs_sql(["customer:7"], 1, "SELECT id, depth FROM N", _BOTH, kinds=("customer", "nation", "order"), names=("customer_nation", "order_customer")))
+@query(bfs_sql(["customer:7"], 1, "SELECT id, depth FROM N", _BOTH))
 def traverse_depth1(spark, d):
-    return traverse.traverse(entities(spark, d, "customer", "nation", "order"), relations(spark, d, "customer_nation", "order_customer"), ["customer:7"], 1, ["both"]).nodes.select("id", "depth")
+    return traverse.traverse(entities(spark, d), relations(spark, d), ["customer:7"], 1, ["both"]).nodes.select("id", "depth")
 
 
-@query(bfs_sql(["nation:3"], 3, "SELECT id, depth FROM N", _BOTH, "type <> 'person' OR p_acctbal > 3000", kinds=("customer", "nation", "order"), names=("customer_nation", "order_customer")))
+@query(bfs_sql(["nation:3"], 3, "SELECT id, depth FROM N", _BOTH, "type <> 'person' OR p_acctbal > 3000"))
 def traverse_node_filter(spark, d):
-    e = entities(spark, d, "customer", "nation", "order")
-    return traverse.traverse(e, relations(spark, d, "customer_nation", "order_customer"), ["nation:3"], 3, ["both"], node_filter=lambda _: (F.col("type") != "person") | (F.col("p_acctbal") > 3000)).nodes.select("id", "depth")
+    rich = lambda _: (F.col("type") != "person") | (F.col("p_acctbal") > 3000)
+    return traverse.traverse(entities(spark, d), relations(spark, d), ["nation:3"], 3, ["both"], node_filter=rich).nodes.select("id", "depth")
 
 
-@query(bfs_sql(["order:1", "order:2", "order:3"], 2, "SELECT id, depth FROM N", "SELECT source_id AS src, target_id AS dst, id AS rel_id, seq, source_id, target_id, 'outbound' AS direction FROM R WHERE weight >= 20 OR type <> 'references'", kinds=("order", "part", "supplier"), names=("order_part", "part_supplier")))
-def traverse_edge_filter(spark, d):
-    return traverse.traverse(entities(spark, d, "order", "part", "supplier"), relations(spark, d, "order_part", "part_supplier"), ["order:1", "order:2", "order:3"], 2, edge_filter=lambda _: (F.col("weight") >= 20) | (F.col("type") != "references")).nodes.select("id", "depth")
+_HEAVY = "SELECT source_id AS src, target_id AS dst, id AS rel_id, seq, source_id, target_id, 'outbound' AS direction FROM R WHERE weight >= 20 OR type <> 'references'"
 
 
-_ORDERS = (("order", "part", "supplier", "nation", "region"), ("order_part", "part_supplier", "supplier_nation", "nation_region"))
+@query(bfs_sql(["order:1", "order:2", "order:3"], 2, "SELECT id, depth FROM N", _HEAVY))
+def traverse_edge_filter(spark, d):
+    heavy = lambda _: (F.col("weight") >= 20) | (F.col("type") != "references")
+    return traverse.traverse(entities(spark, d), relations(spark, d), ["order:1", "order:2", "order:3"], 2, edge_filter=heavy).nodes.select("id", "depth")
 
 
-@query(bfs_sql(["order:1"], 3, "SELECT id, depth, array_to_string(path, '>') AS path FROM N WHERE depth > 0", kinds=_ORDERS[0], names=_ORDERS[1]))
+@query(bfs_sql(["order:1"], 3, "SELECT id, depth, array_to_string(path, '>') AS path FROM N WHERE depth > 0"))
 def traverse_paths(spark, d):
-    found = traverse.traverse(entities(spark, d, *_ORDERS[0]), relations(spark, d, *_ORDERS[1]), ["order:1"], 3)
+    found = traverse.traverse(entities(spark, d), relations(spark, d), ["order:1"], 3)
     return found.paths.select("id", "depth", F.array_join("path", ">").alias("path"))
 
 
-@query(bfs_sql(["supplier:1", "supplier:2", "supplier:1", "nowhere:1"], 2, "SELECT id, depth FROM N", kinds=_SUPPLY, names=_PLACES).replace("UNION ALL SELECT 'supplier:1' AS id, 2 AS at ", ""))
+@query(bfs_sql(["supplier:1", "supplier:2", "nowhere:1"], 2, "SELECT id, depth FROM N"))
 def traverse_multi_source(spark, d):
-    return traverse.traverse(entities(spark, d, *_SUPPLY), relations(spark, d, *_PLACES), ["supplier:1", "supplier:2", "supplier:1", "nowhere:1"], 2).nodes.select("id", "depth")
+    """Starts that are told twice, or don't exist, change nothing."""
+    starts = ["supplier:1", "supplier:2", "supplier:1", "nowhere:1"]
+    return traverse.traverse(entities(spark, d), relations(spark, d), starts, 2).nodes.select("id", "depth")
 
 
 @query(bfs_sql(["vec:0"], 6, "SELECT id, depth AS hops FROM N", _BOTH, kinds=("vec",), names=("vec_ring",)))
@@ -373,17 +475,25 @@ def hop_distance(spark, d):
     return traverse.traverse(entities(spark, d, "vec"), relations(spark, d, "vec_ring"), ["vec:0"], 6, ["both"]).nodes.select("id", F.col("depth").alias("hops"))
 
 
-@query(bfs_sql(["order:1"], 3, "SELECT path[-2] AS parent, id AS child, depth FROM N WHERE depth > 0", kinds=_ORDERS[0], names=_ORDERS[1]))
+@query(bfs_sql(["order:1"], 3, "SELECT path[-2] AS parent, id AS child, depth FROM N WHERE depth > 0"))
 def traverse_tree(spark, d):
-    return traverse.traverse(entities(spark, d, *_ORDERS[0]), relations(spark, d, *_ORDERS[1]), ["order:1"], 3).tree()
+    return traverse.traverse(entities(spark, d), relations(spark, d), ["order:1"], 3).tree()
 
 
-@query(bfs_sql(["nation:3"], 2, "SELECT id, depth FROM N ORDER BY depth, pos LIMIT 15 OFFSET 5", _BOTH, kinds=("customer", "nation", "order"), names=("customer_nation", "order_customer")))
+@query(bfs_sql(["nation:3"], 2, "SELECT id, depth FROM N ORDER BY depth, pos LIMIT 15 OFFSET 5", _BOTH))
 def traverse_page(spark, d):
-    found = traverse.traverse(entities(spark, d, "customer", "nation", "order"), relations(spark, d, "customer_nation", "order_customer"), ["nation:3"], 2, ["both"])
+    found = traverse.traverse(entities(spark, d), relations(spark, d), ["nation:3"], 2, ["both"])
     return traverse.page(found.nodes, ["depth", "pos"], 15, 5).select("id", "depth")
 
 
+@query(bfs_sql(["nation:3"], 2, "SELECT (SELECT count(*) FROM N) AS nodes, (SELECT count(*) FROM A JOIN N ON A.src = N.id WHERE N.depth < 2) AS edges, (SELECT count(*) FROM N WHERE depth > 0) AS paths", _BOTH))
+def traverse_totals(spark, d):
+    """What a query found before paging: the counts of a result whose page is one row."""
+    spec = {"type": "traversal", "traversal": {"start_ids": ["nation:3"], "max_depth": 2, "directions": ["both"]}, "options": {"limit": 1}}
+    totals = GraphEngine(spark, PropertyGraph.of_tables(spark, d)).query(spec).totals()
+    return spark.createDataFrame([tuple(totals[k] for k in ("nodes", "edges", "paths"))], "nodes long, edges long, paths long")
+
+
 @query(with_graph("SELECT E.id, coalesce(n, 0)::BIGINT AS degree FROM E LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT source_id AS id FROM R UNION ALL SELECT target_id FROM R WHERE source_id <> target_id) GROUP BY id) c ON E.id = c.id"))
 def node_degree(spark, d):
     return traverse.degree(entities(spark, d), relations(spark, d))
@@ -405,18 +515,35 @@ def pattern_colleague(spark, d):
     return inf.matches(entities(spark, d, "order", "customer"), relations(spark, d, "order_customer"), p)
 
 
-@query("SELECT 'customer:' || c_custkey AS a_id, 'nation:' || c_nationkey AS b_id, 'region:' || n_regionkey AS c_id FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query("SELECT 'nation:' || c_nationkey AS a_id, min('customer:' || c_custkey) AS b_id FROM customer GROUP BY 1")
 def pattern_first_per_anchor(spark, d):
-    p = inf.Pattern((inf.Node("a", "person"), inf.Node("b"), inf.Node("c")), (inf.Edge("a", "part_of", "b"), inf.Edge("b", "part_of", "c")))
-    return inf.matches(entities(spark, d, "customer", "nation", "region"), relations(spark, d, "customer_nation", "nation_region"), p, first_per_anchor=True)
+    """Of the many customers of a nation the first."""
+    p = inf.Pattern((inf.Node("a", "location"), inf.Node("b", "person")), (inf.Edge("b", "part_of", "a"),))
+    return inf.matches(entities(spark, d), relations(spark, d), p, first_per_anchor=True)
+
 
+@query("SELECT 'region:' || r_regionkey AS a_id, 'supplier:' || s_suppkey AS b_id FROM region, supplier WHERE s_acctbal > 9000")
+def pattern_unlinked(spark, d):
+    """Two variables that no relation ties: combined, as the rows that this makes were counted first."""
+    rich = Filter("properties.acctbal", "gt", 9000.0)
+    p = inf.Pattern((inf.Node("a", "location", constraints=(Filter("id", "startsWith", "region:"),)), inf.Node("b", "organization", constraints=(rich,))))
+    return inf.matches(entities(spark, d, "region", "supplier"), relations(spark, d, "nation_region"), p, most_crossed=1_000_000)
 
-@query("SELECT 'customer:' || c_custkey AS id, 'nation:' || c_nationkey AS nation FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)".replace("WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)", "WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 5)"))
+
+@query(
+    """
+SELECT 'customer:' || c_custkey AS source_id, 'region:' || n_regionkey AS target_id
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING'
+"""
+)
 def infer_anti_existing(spark, d):
-    """Relations of customers to nations that no supplier up to the fifth has."""
-    r = relations(spark, d, "customer_nation")
-    known = read(spark, d, "supplier").where("s_suppkey <= 5").select(F.concat(F.lit("nation:"), "s_nationkey").alias("target_id"))
-    return r.join(known, "target_id", "left_anti").select(F.col("source_id").alias("id"), F.col("target_id").alias("nation"))
+    """Customers of one segment have their regions as relations already: those are not derived again."""
+    e, r = entities(spark, d, *_PLACE_KINDS), relations(spark, d, *_PLACE_RELS)
+    nations = r.where("id like 'nr:%'").select(F.col("source_id").alias("nation"), F.col("target_id").alias("region"))
+    building = e.where("p_mktsegment = 'BUILDING'").select(F.col("id").alias("source_id"))
+    known = r.where("id like 'cn:%'").join(building, "source_id").join(nations, F.col("target_id") == F.col("nation"))
+    known = known.select(*[F.col("region").alias("target_id") if c == "target_id" else F.concat(F.lit("x"), "id").alias("id") if c == "id" else c for c in r.columns])
+    return inf.infer(e, r.unionByName(known), inf.built_in(), rule_ids=["part-of-transitive"]).select("source_id", "target_id")
 
 
 @query("SELECT 'nation:' || n_nationkey AS id, n_name AS label, (SELECT string_agg(r, ',' ORDER BY r) FROM (SELECT 'nr:' || n_nationkey AS r FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'sn:' || s_suppkey FROM supplier WHERE s_nationkey = 3)) AS relation_ids FROM nation WHERE n_nationkey = 3")
@@ -571,6 +698,24 @@ def sparse_dot(spark, d):
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(similarity.sparse_dot(v, q), 6).alias("score"))
 
 
+_WORDS = "string_split(lower(p_name || ' ' || p_brand), ' ')"
+
+
+@query(f"SELECT 'part:' || p_partkey AS id, round((list_contains({_WORDS}, 'brand#12')::INT + list_contains({_WORDS}, 'part')::INT + list_contains({_WORDS}, 'nothing')::INT) / 3.0::DOUBLE, 6) AS keyword_score FROM part")
+def keyword_score(spark, d):
+    """The share of three words that a part's label or alias, its brand, has."""
+    e = entities(spark, d, "part").withColumn("aliases", F.array("p_brand"))
+    return vector.keyword_scores(e, "Part nothing BRAND#12").select("id", F.round("keyword_score", 6).alias("keyword_score"))
+
+
+@query(_hybrid_sql("0.5::DOUBLE * coalesce(s, 0) + 0.5::DOUBLE * (n.id = 'vec:5')::INT"))
+def hybrid_keyword(spark, d):
+    """Weighted fusion in which a text scores the keyword part."""
+    found, hits = _hybrid(spark, d)
+    e = entities(spark, d, "vec").withColumn("aliases", F.array("id"))
+    return vector.hybrid(found.nodes, hits, 10, "weighted", keywords=vector.keyword_scores(e, "vec:5")).select("id", F.round("fused", 6).alias("score"))
+
+
 # Inference
 
 _PLACE_KINDS, _PLACE_RELS = ("region", "nation", "customer"), ("nation_region", "customer_nation")
@@ -597,13 +742,18 @@ def infer_transitive_pass1(spark, d):
     return inf.infer(entities(spark, d, "vec"), relations(spark, d, "vec_ring"), inf.built_in(), max_iterations=1, rule_ids=["transitive-closure"]).select("source_id", "target_id")
 
 
-@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM embeddings), r AS (SELECT vec_id AS s, (7 * vec_id + 1) % n AS t FROM embeddings, n WHERE vec_id < 60 AND (7 * vec_id + 1) % n < 60),
- c AS (SELECT s, t FROM r UNION SELECT c.s, r.t FROM c JOIN r ON c.t = r.s) SELECT 'vec:' || s AS source_id, 'vec:' || t AS target_id FROM c EXCEPT SELECT 'vec:' || s, 'vec:' || t FROM r""")
+@query(
+    """
+WITH RECURSIVE r AS (SELECT p_partkey AS s, p_partkey // 7 AS t FROM part WHERE p_partkey // 7 > 0),
+c AS (SELECT s, t FROM r UNION SELECT c.s, r.t FROM c JOIN r ON c.t = r.s)
+SELECT 'part:' || s AS source_id, 'part:' || t AS target_id FROM c EXCEPT SELECT 'part:' || s, 'part:' || t FROM r
+"""
+)
 def infer_transitive_fixpoint(spark, d):
-    """The closure of the relations among vectors whose key is below 60: the micro-graph of this feature's fixpoint."""
-    inside = lambda c: F.split(c, ":")[1].cast("long") < 60
-    r = relations(spark, d, "vec_ring").where(inside("source_id") & inside("target_id"))
-    return inf.infer(entities(spark, d, "vec"), r, inf.built_in(), rule_ids=["transitive-closure"]).select("source_id", "target_id")
+    """All parts as a tree in which a part belongs to that of a seventh of its key; the closure has all ancestors."""
+    to = F.expr("p_partkey div 7")
+    tree = read(spark, d, "part").where(to > 0).select(F.concat(F.lit("t"), "p_partkey").alias("id"), F.concat(F.lit("part:"), "p_partkey").alias("source_id"), F.concat(F.lit("part:"), to).alias("target_id"), F.lit("related_to").alias("type"))
+    return inf.infer(entities(spark, d, "part"), tree, inf.built_in(), rule_ids=["transitive-closure"]).select("source_id", "target_id")
 
 
 @query("SELECT 'a' AS rule_id, round(0.9 * 0.95 * 0.95, 6)::DOUBLE AS confidence, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'")
@@ -613,36 +763,72 @@ def infer_confidence(spark, d):
     return out.groupBy("rule_id").agg(F.round(F.max("confidence"), 6).alias("confidence"), F.count("*").alias("n"))
 
 
-@query("SELECT 'part:' || a.p_partkey AS s, 'part:' || b.p_partkey AS t FROM part a JOIN part b ON a.p_brand = b.p_brand AND 'part:' || a.p_partkey < 'part:' || b.p_partkey WHERE a.p_partkey < 200 AND b.p_partkey < 200")
+@query(
+    """
+SELECT g.s, 'part:' || p_partkey AS t FROM part JOIN (SELECT p_brand AS b, min('part:' || p_partkey) AS s FROM part GROUP BY 1) g ON p_brand = g.b
+WHERE g.s < 'part:' || p_partkey
+"""
+)
 def infer_same_as(spark, d):
-    e = entities(spark, d, "part").withColumn("aliases", F.when(F.col("seq") % 10**12 < 200, F.array("p_brand")).otherwise(F.array().cast("array<string>")))
+    """Parts with their brand as an alias: each is tied to the least of its brand."""
+    e = entities(spark, d, "part").withColumn("aliases", F.array("p_brand"))
     return inf.infer(e, relations(spark, d, "nation_region"), inf.built_in(), rule_ids=["same-as-alias"]).select(F.col("source_id").alias("s"), F.col("target_id").alias("t"))
 
 
-@query("SELECT type, count(*) AS n, round(sum(weight), 4) AS weight FROM (SELECT 'part_of' AS type, 1.0 AS weight FROM nation UNION ALL SELECT 'part_of', 1.0 FROM customer UNION ALL SELECT 'part_of', 0.8 FROM customer) GROUP BY 1".replace("1.0", "1.0::DOUBLE").replace("0.8", "0.8::DOUBLE"))
+@query(
+    """
+SELECT a.id AS s, b.id AS t FROM (SELECT 'supplier:' || s_suppkey AS id, s_nationkey AS n FROM supplier) a
+JOIN (SELECT 'supplier:' || s_suppkey AS id, s_nationkey AS n FROM supplier) b ON a.n = b.n AND a.id < b.id
+"""
+)
+def infer_same_as_pairs(spark, d):
+    """Suppliers with their nation as an alias: all pairs, as the rule asks for."""
+    e = entities(spark, d, "supplier").join(read(spark, d, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.col("s_nationkey").cast("string").alias("n")), "id")
+    e = e.withColumn("aliases", F.array("n")).drop("n")
+    rule = replace(inf.built_in()[2], options={"alias_pairs": True})
+    return inf.infer(e, relations(spark, d, "nation_region"), [rule]).select(F.col("source_id").alias("s"), F.col("target_id").alias("t"))
+
+
+@query("SELECT 'part_of' AS type, (SELECT count(*) FROM nation) + 2 * count(*) AS n, round((SELECT count(*) FROM nation) + 1.8::DOUBLE * count(*), 4) AS weight FROM customer")
 def infer_apply(spark, d):
     derived = inf.as_relations(_derived(spark, d, rule_ids=["part-of-transitive"]))
     out = mutate.add_relations(entities(spark, d, *_PLACE_KINDS), relations(spark, d, *_PLACE_RELS), derived)
     return out.groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-@query("SELECT 'part-of-transitive' AS rule_id, 'customer:7>nation:' || c_nationkey || '>region:' || n_regionkey AS derivation_path, 0.8::DOUBLE AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 7")
+@query(
+    """
+SELECT 'part-of-transitive' AS rule_id, 'part_of' AS type, 'customer:7>nation:' || c_nationkey || '>region:' || n_regionkey AS derivation_path,
+  0.8::DOUBLE AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 7
+"""
+)
 def infer_explain(spark, d):
-    derived = inf.as_relations(_derived(spark, d, rule_ids=["part-of-transitive"])).where("source_id = 'customer:7'")
-    return derived.select(F.col("properties")["inferredBy"].alias("rule_id"), F.col("properties")["derivationPath"].alias("derivation_path"), F.col("weight").alias("confidence"))
-
-
-@query("SELECT 'transitive-closure' AS rule_id, 0::BIGINT AS count UNION ALL SELECT 'same-as-alias', 0 UNION ALL SELECT 'part-of-transitive', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey")
+    derived = inf.as_relations(_derived(spark, d, rule_ids=["part-of-transitive"]))
+    all_relations = mutate.add_relations(entities(spark, d, *_PLACE_KINDS), relations(spark, d, *_PLACE_RELS), derived)
+    return inf.explain(all_relations, "customer:7")
+
+
+@query(
+    """
+WITH n AS (SELECT count(*) AS n FROM embeddings)
+SELECT 'transitive-closure' AS rule_id, count(*) AS count FROM (
+  SELECT vec_id, (7 * ((7 * vec_id + 1) % n) + 1) % n FROM embeddings, n EXCEPT SELECT vec_id, (7 * vec_id + 1) % n FROM embeddings, n)
+UNION ALL SELECT 'same-as-alias', (SELECT count(*) FROM part) - (SELECT count(DISTINCT p_brand) FROM part)
+UNION ALL SELECT 'part-of-transitive', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey
+"""
+)
 def infer_applied_rules(spark, d):
-    return inf.applied(_derived(spark, d), inf.built_in())
+    """One pass of all three rules over the whole graph, in which parts have their brand as an alias."""
+    e = entities(spark, d).withColumn("aliases", F.when(F.col("p_brand").isNotNull(), F.array("p_brand")).otherwise(F.array().cast("array<string>")))
+    return inf.applied(inf.infer(e, relations(spark, d), inf.built_in(), max_iterations=1), inf.built_in())
 
 
 # Clocks and the op log
 
 
-def _ops(spark, d, concurrent: bool = True) -> DataFrame:
+def _ops(spark, d, concurrent: bool = True, target: str = "concat('user:', user_id)") -> DataFrame:
     """The events as operations on users. Clocks: the node's own count, or with concurrent=False the counts of all nodes so far."""
-    e = read(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("user:"), "user_id").alias("target_id"), F.concat(F.lit("n"), F.col("event_id") % 3).alias("node_id"), "event_type", "props", "value")
+    e = read(spark, d, "events").select(F.col("event_id").alias("seq"), F.expr(target).alias("target_id"), F.concat(F.lit("n"), F.col("event_id") % 3).alias("node_id"), "event_type", "props", "value")
     kind = F.when(F.col("event_type") == "signup", "entity_add").when(F.col("event_type") == "error", "entity_delete").otherwise("entity_update")
     # event_id counts from the least, and nodes take turns: a node's count follows from the id alone.
     count = lambda n: F.floor((F.col("seq") + 3 - n) / 3).cast("long")
@@ -711,16 +897,25 @@ def crdt_deleted(spark, d):
     return oplog.fold(_ops(spark, d, False)).where("deleted").select("target_id")
 
 
-# With all clocks in order every operation is newer than the last, so only the order of arrival matters.
-_ACTIVE = """SELECT u AS target_id, k FROM (SELECT 'user:' || user_id AS u, min(event_id) FILTER (event_type = 'signup') AS born, bool_or(event_type = 'error' AND event_id % 97 = 0) AS dead,
-   list({'i': event_id, 'k': props->>'k'} ORDER BY event_id DESC) FILTER (event_type <> 'error') AS ops FROM events GROUP BY 1) t,
- LATERAL (SELECT list_filter(t.ops, lambda o: o.i >= t.born)[1].k AS k) WHERE born IS NOT NULL AND NOT dead"""
+# With all clocks in order every operation is newer than the last, so only the order of arrival matters: an add always
+# counts, an update between the first add and the first deletion.
+def _folded_sql(target: str, select: str) -> str:
+    return f"""
+WITH b AS (SELECT {target} AS t, min(event_id) FILTER (event_type = 'signup') AS born, min(event_id) FILTER (event_type = 'error') AS dead FROM events GROUP BY 1),
+o AS (SELECT t, born, dead, event_id AS i, event_type AS e, props->>'k' AS k,
+  event_type = 'signup' OR event_type <> 'error' AND event_id > born AND (dead IS NULL OR event_id < dead) AS sets FROM events JOIN b ON b.t = {target}),
+s AS (SELECT t AS target_id, any_value(born) IS NOT NULL AS present, any_value(dead) IS NOT NULL AS deleted, arg_max(k, i) FILTER (sets) AS k,
+  count(*) FILTER (sets OR e = 'error') AS n_applied FROM o GROUP BY t)
+{select}"""
+
+
+_SESSION = "user_id || '@' || strftime(ts, '%Y-%m-%d %H')"
 
 
-@query(_ACTIVE)
+@query(_folded_sql(_SESSION, "SELECT target_id, k FROM s WHERE present AND NOT deleted"))
 def crdt_active(spark, d):
-    """Of the deletions only those of every 97th operation, so that some users live."""
-    ops = _ops(spark, d, False).where("type <> 'entity_delete' or seq % 97 = 0")
+    """Hours of users as targets, so that some live to the end of the log."""
+    ops = _ops(spark, d, False, "concat(user_id, '@', date_format(ts, 'yyyy-MM-dd HH'))")
     return oplog.active(oplog.fold(ops)).select("target_id", F.col("props")["k"].alias("k"))
 
 
@@ -733,19 +928,15 @@ def crdt_patch(spark, d):
     return e.select(F.col("event_id").alias("seq"), m.alias("m")).select("seq", F.try_element_at("m", F.lit("k")).alias("k"), F.try_element_at("m", F.lit("flag")).alias("flag"))
 
 
-@query()
+@query(_folded_sql("'user:' || user_id", "SELECT target_id, present, deleted, n_applied, k FROM s"))
 def crdt_stream(spark, d):
-    """The fold as a stream over the whole log, read from files; the last state of each target."""
+    """The fold as a stream over the whole log, read from files; the last state of each target, from what the stream wrote."""
     folder = _folder(spark)
     messages = streaming.as_messages(_ops(spark, d, False))
     messages.write.parquet(f"{folder}/log")
     stream = spark.readStream.schema(messages.schema).parquet(f"{folder}/log")
-    name = f"fold_{os.urandom(4).hex()}"
-    run = streaming.fold_stream(stream).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination(600)
-    rows = spark.table(name)
-    last = Window.partitionBy("target_id").orderBy(F.desc("n_applied"), F.desc("deleted"))
-    return rows.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
+    streaming.written(streaming.fold_stream(stream), folder).awaitTermination()
+    return streaming.last_states(spark, folder).select("target_id", "present", "deleted", "n_applied", F.get_json_object("props", "$.k").alias("k"))
 
 
 @query("SELECT event_id AS msg_id, 'user:' || user_id AS target_id FROM events WHERE event_id % 11 <> 0")
@@ -754,16 +945,107 @@ def gossip_dedup(spark, d):
     return oplog.deliverable(ops.unionByName(ops.where("msg_id % 4 = 0"))).select("msg_id", "target_id")
 
 
-@query()
+_FANOUT = """
+WITH p AS (SELECT 'peer' || i AS peer_id, ('0x' || substr(md5('peer' || i), 1, 15))::BIGINT % 1024 AS bucket FROM range(7) t(i)),
+n AS (SELECT peer_id, row_number() OVER (ORDER BY bucket, peer_id) - 1 AS number FROM p),
+h AS (SELECT event_id AS m, ('0x' || substr(md5(event_id || ':0:3'), 1, 15))::BIGINT % 5 AS a, ('0x' || substr(md5(event_id || ':0:2'), 1, 15))::BIGINT % 6 AS b,
+  ('0x' || substr(md5(event_id || ':0:1'), 1, 15))::BIGINT % 7 AS c FROM events),
+g AS (SELECT m, a, CASE WHEN b = a THEN 5 ELSE b END AS b, c FROM h),
+f AS (SELECT m, a, b, CASE WHEN c IN (a, b) THEN 6 ELSE c END AS c FROM g)
+SELECT m AS msg_id, peer_id FROM (SELECT m, unnest([a, b, c]) AS number FROM f) JOIN n USING (number)
+"""
+
+
+@query(_FANOUT)
 def gossip_fanout(spark, d):
     peers = spark.createDataFrame([(f"peer{i}",) for i in range(7)], "peer_id string")
     return oplog.fanout(_ops(spark, d).select(F.col("seq").alias("msg_id")), peers, 3)
 
 
-@query("SELECT p.peer_id, e.event_id AS seq FROM events e, (SELECT 'a' AS peer_id, 100 AS n0, 50 AS n1, 0 AS n2 UNION ALL SELECT 'b', 5, 0, 700) p WHERE e.event_id // 3 + 1 > CASE e.event_id % 3 WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END")
+_UNSEEN = "e.event_id // 3 + 1 > CASE e.event_id % 3 WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END"
+_PEERS = "(SELECT 'a' AS peer_id, 100 AS n0, 50 AS n1, 0 AS n2 UNION ALL SELECT 'b', 5, 0, 700 UNION ALL SELECT 'c', 1000000, 1000000, 1000000)"
+
+
+def _peers(spark):
+    known = [("a", {"n0": 100, "n1": 50}), ("b", {"n0": 5, "n2": 700}), ("c", {"n0": 1000000, "n1": 1000000, "n2": 1000000})]
+    return oplog.register(None, spark.createDataFrame(known, "peer_id string, clock map<string,bigint>"))
+
+
+@query(f"SELECT p.peer_id, e.event_id AS seq FROM events e, {_PEERS} p WHERE {_UNSEEN}")
 def ops_for_peer(spark, d):
-    peers = spark.createDataFrame([("a", {"n0": 100, "n1": 50}), ("b", {"n0": 5, "n2": 700})], "peer_id string, clock map<string,bigint>")
-    return oplog.ops_for_peer(_ops(spark, d), peers).select("peer_id", "seq")
+    return oplog.ops_for_peer(_ops(spark, d), _peers(spark)).select("peer_id", "seq")
+
+
+@query(f"SELECT p.peer_id, 'idle' AS status, 1 AS priority, count(e.event_id) AS pending, count(e.event_id) = 0 AS in_sync FROM {_PEERS} p LEFT JOIN events e ON {_UNSEEN} GROUP BY 1")
+def sync_status(spark, d):
+    return oplog.sync_status(_peers(spark), _ops(spark, d))
+
+
+@query("SELECT 's' || s_suppkey AS peer_id, CASE WHEN s_acctbal > 0 THEN 2 ELSE 1 END AS priority, 5000 AS interval_ms, CASE WHEN s_nationkey % 2 = 0 THEN 4 ELSE 0 END::BIGINT AS n0 FROM supplier WHERE s_nationkey <> 3")
+def peer_registry(spark, d):
+    """Suppliers as peers: registered with defaults, some again with a clock and all with a priority, those of one nation removed."""
+    s = read(spark, d, "supplier").withColumn("peer_id", F.concat(F.lit("s"), "s_suppkey"))
+    peers = oplog.register(None, s.where("s_nationkey % 2 = 0").select("peer_id", F.create_map(F.lit("n0"), F.lit(4).cast("long")).alias("clock")))
+    peers = oplog.register(peers, s.select("peer_id", F.when(F.col("s_acctbal") > 0, 2).otherwise(1).alias("priority")))
+    peers = oplog.without_peers(peers, s.where("s_nationkey = 3"))
+    return peers.select("peer_id", "priority", "interval_ms", F.coalesce(F.try_element_at("clock", F.lit("n0")), F.lit(0)).cast("long").alias("n0"))
+
+
+@query("SELECT p.peer_id, greatest(n0, 300)::BIGINT AS n0, greatest(n1, 0)::BIGINT AS n1, greatest(n2, 20)::BIGINT AS n2 FROM (SELECT 'a' AS peer_id, 100 AS n0, 50 AS n1, 0 AS n2 UNION ALL SELECT 'b', 5, 0, 700 UNION ALL SELECT 'c', 1000000, 1000000, 1000000) p")
+def peers_advanced(spark, d):
+    peers = _peers(spark)
+    seen = peers.select("peer_id", F.create_map(F.lit("n0"), F.lit(300).cast("long"), F.lit("n2"), F.lit(20).cast("long")).alias("clock"))
+    get = lambda n: F.coalesce(F.try_element_at("clock", F.lit(n)), F.lit(0)).cast("long").alias(n)
+    return oplog.advance(peers, seen).select("peer_id", *map(get, ("n0", "n1", "n2")))
+
+
+@query("SELECT event_id AS seq, event_id % 3 < 2 OR event_id % 11 <> 0 AS kept FROM events WHERE event_id % 3 < 2 OR event_id % 11 <> 0")
+def remote_ops(spark, d):
+    """A replica that has the operations of two nodes gets all nodes', twice, and takes what is new and causally ready."""
+    ops = _ops(spark, d)
+    log = oplog.received(ops.where("node_id <> 'n2'"), ops.unionByName(ops))
+    return log.select("seq", F.lit(True).alias("kept"))
+
+
+@query("SELECT max(event_id // 3 + 1) FILTER (event_id % 3 = 0) AS n0, max(event_id // 3 + 1) FILTER (event_id % 3 = 1) AS n1, max(event_id // 3 + 1) FILTER (event_id % 3 = 2) AS n2 FROM events")
+def replica_clock(spark, d):
+    return oplog.clock_of(_ops(spark, d)).select(*[F.col("clock")[n].alias(n) for n in ("n0", "n1", "n2")])
+
+
+@query(f"SELECT peer_id, n FROM (SELECT p.peer_id, count(*) AS n FROM events e, {_PEERS} p WHERE {_UNSEEN} GROUP BY 1)")
+def gossip_round(spark, d):
+    """A round that reaches all three peers: how many operations it sends to each."""
+    return oplog.gossip_round(_ops(spark, d), _peers(spark), 3).groupBy("peer_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    """
+SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'entity_add' WHEN 'error' THEN 'relation_delete' ELSE 'entity_update' END AS type,
+  'user:' || user_id AS target_id, CASE WHEN event_type = 'error' THEN event_id + 2592000000 END AS gc_after, CASE WHEN event_type = 'signup' THEN props->>'k' END AS k FROM events
+"""
+)
+def op_constructors(spark, d):
+    e = read(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    clock, target, seq = F.create_map(F.lit("n0"), F.col("event_id")), F.concat(F.lit("user:"), "user_id"), F.col("event_id")
+    make = lambda rows, kind, **more: rows.select(*oplog.operation(kind, seq, target, F.lit("n0"), clock, now=seq, **more))
+    adds = make(e.where("event_type = 'signup'"), "entity_add", payload=F.create_map(F.lit("k"), F.col("k")))
+    gone = make(e.where("event_type = 'error'"), "relation_delete")
+    rest = make(e.where("event_type not in ('signup', 'error')"), "entity_update", patches=F.array(F.struct(F.lit("replace").alias("op"), F.lit("/k").alias("path"), F.col("k").alias("value"))))
+    return adds.unionByName(gone).unionByName(rest).select("seq", "type", "target_id", F.col("tombstone.gc_after").alias("gc_after"), F.col("payload")["k"].alias("k"))
+
+
+@query(
+    """
+SELECT target_id, seq, expected FROM (SELECT 'user:' || user_id AS target_id, event_id AS seq, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS expected FROM events)
+WHERE expected IS NOT NULL AND event_type = 'error' AND expected <> seq - 1
+"""
+)
+def version_gaps(spark, d):
+    """Each operation names the one before it on its target; those of errors name the log's last one, so most leave a gap."""
+    ops = _ops(spark, d).withColumn("new_version", F.col("seq"))
+    before = F.lag("seq").over(Window.partitionBy("target_id").orderBy("seq"))
+    ops = ops.withColumn("prior_version", F.when(F.col("type") == "entity_delete", F.col("seq") - 1).otherwise(before))
+    return oplog.version_gaps(ops).select("target_id", "seq", "expected")
 
 
 @query("SELECT 'user:' || user_id AS id, event_id + 2592000000 AS gc_after FROM events WHERE event_type = 'error' AND event_id > 500")
@@ -778,6 +1060,24 @@ def events_tumbling(spark, d):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+@query("SELECT start, event_type, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start, event_type FROM events) GROUP BY 1, 2")
+def events_sliding(spark, d):
+    out = streaming.sliding(read(spark, d, "events"), "ts", "2 hours", "1 hour", "1 hour", "event_type")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query(
+    """
+WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 97 MINUTE AS new FROM events),
+s AS (SELECT user_id, ts, count(*) FILTER (new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS nth FROM g)
+SELECT min(ts) AS start, max(ts) + INTERVAL 97 MINUTE AS end, user_id, count(*) AS n FROM s GROUP BY user_id, nth
+"""
+)
+def events_sessions(spark, d):
+    out = streaming.sessions(read(spark, d, "events"), "ts", "97 minutes", "1 hour", "user_id")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
+
+
 # Conflicts and merges
 
 
@@ -962,7 +1262,7 @@ def layout_step(spark, d):
 
 @query()
 def layout_run(spark, d):
-    return _xy(layout.run(entities(spark, d, *_LAY_KINDS), relations(spark, d, *_LAY_RELS), iterations=10), "x", "y")
+    return _xy(layout.run(entities(spark, d, *_LAY_KINDS), relations(spark, d, *_LAY_RELS)), "x", "y")
 
 
 @query(_lay("SELECT round(min(x) - 50, 4) AS min_x, round(max(x) + 50, 4) AS max_x, round(min(y) - 50, 4) AS min_y, round(max(y) + 50, 4) AS max_y, round(least(800 / (max(x) - min(x) + 100), 600 / (max(y) - min(y) + 100), 2), 4) AS scale FROM C"))

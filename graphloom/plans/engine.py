@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 from collections import OrderedDict
 from collections.abc import Mapping, Sequence
 from copy import deepcopy
@@ -19,7 +21,7 @@ from graphloom.sources.tables import PropertyGraph
 
 DEFAULTS: dict[str, Any] = {
     "node_id": "node-1",
-    "query": {"default_limit": 100, "max_limit": 10_000, "cache": True, "cache_size": 1000},
+    "query": {"default_limit": 100, "max_limit": 10_000, "cache": True, "cache_size": 1000, "timeout_ms": None},
     "inference": {"max_iterations": 10, "threshold": 0.5},
     "storage": {"type": "memory", "path": None},
 }
@@ -36,13 +38,22 @@ def as_filters(specs: Sequence[Filter | Mapping] | None) -> list[Filter]:
     return [s if isinstance(s, Filter) else Filter(s["field"], s["operator"], s.get("value")) for s in specs or ()]
 
 
+#: Consistency levels of a query. All read one graph version, so each is met by a snapshot; the level is told in the result.
+LEVELS = ("strong", "eventual", "bounded", "read_my_writes")
+
+
 @dataclass
 class Result:
-    """Frames of a query, none of them computed yet; count() computes."""
+    """Frames of a query, none of them computed yet; count(), totals() and rows() compute.
+
+    whole has the frames before paging, by the name of the total that counts them.
+    """
 
     type: str
     frames: dict[str, DataFrame]
     options: dict = field(default_factory=dict)
+    whole: dict[str, DataFrame] = field(default_factory=dict)
+    metadata: dict = field(default_factory=dict)
 
     @property
     def data(self) -> DataFrame:
@@ -51,10 +62,42 @@ class Result:
     def count(self) -> int:
         return self.data.count()
 
+    def totals(self) -> dict[str, int]:
+        """How many there are before paging: hits, and for a traversal nodes, edges and paths."""
+        return {k: df.count() for k, df in self.whole.items()}
+
+    def rows(self, timeout_ms: int | None = None) -> list:
+        """The rows of the first frame; a query that takes longer than timeout_ms is cancelled, and TimeoutError raised."""
+        timeout_ms = self.options.get("timeout_ms") if timeout_ms is None else timeout_ms
+        if timeout_ms is None:
+            return self.data.collect()
+        sc, tag, late = self.data.sparkSession.sparkContext, f"query-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            sc.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(timeout_ms / 1000, stop)
+        sc.addJobTag(tag)
+        timer.start()
+        try:
+            return self.data.collect()
+        except Exception as e:
+            if late.is_set():
+                raise TimeoutError(f"query took longer than {timeout_ms} ms") from e
+            raise
+        finally:
+            timer.cancel()
+            sc.removeJobTag(tag)
+
     def explain(self) -> None:
         self.data.explain("formatted")
 
 
+#: Frames of a result, and those before paging.
+Frames = tuple[dict[str, DataFrame], dict[str, DataFrame]]
+
+
 class GraphEngine:
     """Every change makes a new graph version, which is part of the key of cached results."""
 
@@ -66,6 +109,9 @@ class GraphEngine:
         self._cache: OrderedDict[tuple, Result] = OrderedDict()
         self.hits = 0
         self.listeners: dict[str, list] = {}
+        self.log: DataFrame | None = None
+        self.peers: DataFrame | None = None
+        self.runs: list[DataFrame] = []
 
     # Lookups and changes
 
@@ -117,9 +163,13 @@ class GraphEngine:
         """spec: type (traversal, vector, hybrid, pattern, aggregation), its part, filters, options.
 
         Filters select from the result of traversal, vector and hybrid queries, and from the input of the others.
-        Options: limit, offset, include_deleted, explain (does not read the cache).
+        Options: limit, offset, include_deleted, explain (does not read the cache), timeout_ms, consistency.
         """
         options = dict(spec.get("options") or {})
+        level = options.get("consistency", "strong")
+        if level not in LEVELS:
+            raise ValueError(f"unknown consistency level: {level}")
+        options.setdefault("timeout_ms", self.config["query"]["timeout_ms"])
         key = (self.graph.version, json.dumps({k: v for k, v in spec.items() if k != "id"}, sort_keys=True, default=repr))
         cached = self.config["query"]["cache"]
         if cached and key in self._cache and not options.get("explain"):
@@ -128,7 +178,8 @@ class GraphEngine:
         kinds = {"traversal": self._traversal, "vector": self._vector, "hybrid": self._hybrid, "pattern": self._pattern, "aggregation": self._aggregation}
         if spec.get("type") not in kinds:
             raise ValueError(f"unknown query type: {spec.get('type')}")
-        result = Result(spec["type"], kinds[spec["type"]](spec, options), options)
+        frames, whole = kinds[spec["type"]](spec, options)
+        result = Result(spec["type"], frames, options, whole, {"graph_version": self.graph.version, "consistency": level})
         if cached:
             self._cache[key] = result
             while len(self._cache) > self.config["query"]["cache_size"]:
@@ -164,24 +215,27 @@ class GraphEngine:
         filters = as_filters(spec.get("filters"))
         return rows.join(where(self.graph.entities, filters).select("id"), "id", "left_semi") if filters else rows
 
-    def _traversal(self, spec: Mapping, options: Mapping) -> dict[str, DataFrame]:
+    def _traversal(self, spec: Mapping, options: Mapping) -> Frames:
         found = self._walk(spec["traversal"], options)
         limit, offset = self._limit(options, self.config["query"]["default_limit"]), options.get("offset", 0)
-        nodes = traverse.page(self._result_filter(found.nodes, spec), ["depth", "pos"], limit, offset)
+        kept = self._result_filter(found.nodes, spec)
+        nodes = traverse.page(kept, ["depth", "pos"], limit, offset)
         if spec["traversal"].get("include_properties"):
             nodes = nodes.join(self.graph.entities, "id")
         frames = {"nodes": nodes, "edges": traverse.page(found.edges, ["id", "direction"], limit, offset), "paths": traverse.page(found.paths, ["depth", "pos"], limit, offset)}
+        whole = {"nodes": kept, "edges": found.edges, "paths": found.paths}
         shape = spec["traversal"].get("path_format")
         if shape == "tree":
-            return {"tree": found.tree()} | frames
-        return {"nodes": nodes} if shape == "list" else frames
+            return {"tree": found.tree()} | frames, whole
+        return ({"nodes": nodes} if shape == "list" else frames), whole
 
-    def _vector(self, spec: Mapping, options: Mapping) -> dict[str, DataFrame]:
+    def _vector(self, spec: Mapping, options: Mapping) -> Frames:
         v = spec["vector"]
         rows = vector.scored(self._entities(options), v["embedding"], v.get("metric", "cosine"), v.get("threshold"), as_filters(v.get("filters")))
-        return {"hits": self._result_filter(vector.top_k(rows, v.get("k", 10)), spec), "candidates": rows}
+        return {"hits": self._result_filter(vector.top_k(rows, v.get("k", 10)), spec), "candidates": rows}, {"hits": rows}
 
-    def _hybrid(self, spec: Mapping, options: Mapping) -> dict[str, DataFrame]:
+    def _hybrid(self, spec: Mapping, options: Mapping) -> Frames:
+        """Of the traversal the first node_limit nodes (hybrid part of the spec) are fused; with a text, the weighted method's keyword part scores it."""
         found, v, h = self._walk(spec["traversal"], options), spec["vector"], spec.get("hybrid") or {}
         entities = self._entities(options)
         if h.get("prefilter"):
@@ -189,21 +243,26 @@ class GraphEngine:
         rows = vector.scored(entities, v["embedding"], v.get("metric", "cosine"), v.get("threshold"), as_filters(v.get("filters")))
         hits = vector.top_k(rows, v.get("k", 10))
         weights = vector.Weights(h.get("vector_weight", 0.5), h.get("keyword_weight", 0.5))
-        fused = vector.hybrid(self._result_filter(found.nodes, spec), hits, self._limit(options, 10), h.get("fusion", "rrf"), h.get("rrf_k", 60), weights)
-        return {"hits": fused, "stats": vector.hybrid_stats(found.nodes, found.edges, hits)}
+        keywords = vector.keyword_scores(entities, h["text"]) if h.get("text") else None
+        kept = self._result_filter(found.nodes, spec)
+        fused = vector.hybrid(kept, hits, self._limit(options, 10), h.get("fusion", "rrf"), h.get("rrf_k", 60), weights, h.get("node_limit", vector.NODE_LIMIT), keywords)
+        return {"hits": fused, "stats": vector.hybrid_stats(found.nodes, found.edges, hits)}, {"hits": kept}
 
-    def _pattern(self, spec: Mapping, options: Mapping) -> dict[str, DataFrame]:
+    def _pattern(self, spec: Mapping, options: Mapping) -> Frames:
+        rows = where(self._entities(options), as_filters(spec.get("filters")))
         if isinstance(spec.get("pattern"), inference.Pattern):
-            return {"matches": inference.matches(where(self._entities(options), as_filters(spec.get("filters"))), self.graph.relations, spec["pattern"], bool(options.get("first_per_anchor")))}
-        return {"matches": where(self._entities(options), as_filters(spec.get("filters"))).withColumn("matched_pattern", F.lit(True))}
+            out = inference.matches(rows, self.graph.relations, spec["pattern"], bool(options.get("first_per_anchor")), most_crossed=options.get("most_crossed", 0))
+        else:
+            out = rows.withColumn("matched_pattern", F.lit(True))
+        return {"matches": out}, {"hits": out}
 
-    def _aggregation(self, spec: Mapping, options: Mapping) -> dict[str, DataFrame]:
+    def _aggregation(self, spec: Mapping, options: Mapping) -> Frames:
         a = spec["aggregation"]
         parts = [x if isinstance(x, aggregate.Aggregation) else aggregate.Aggregation(x["name"], x["type"], x["field"], x.get("options", {})) for x in a["aggregations"]]
         rows = where(self._entities(options), as_filters(spec.get("filters")))
         histograms = {x.name: aggregate.histogram(rows, x.field, x.options.get("interval", 10)) for x in parts if x.type == "histogram"}
         scalar = [x for x in parts if x.type != "histogram"]
-        return ({"groups": aggregate.aggregate(rows, scalar, a.get("group_by", ()))} if scalar else {}) | histograms
+        return ({"groups": aggregate.aggregate(rows, scalar, a.get("group_by", ()))} if scalar else {}) | histograms, {"hits": rows}
 
     def traverse(self, start_ids: Sequence[str], max_depth: int = 3, **options) -> traverse.Traversal:
         return traverse.traverse(self._entities({}), self.graph.relations, start_ids, max_depth, **options)
@@ -225,8 +284,15 @@ class GraphEngine:
         return gone
 
     def infer(self, rule_ids: Sequence[str] | None = None, max_iterations: int | None = None, threshold: float | None = None) -> DataFrame:
+        """Derived relations; kept for inference_stats."""
         c = self.config["inference"]
-        return inference.infer(self._entities({}), self.graph.relations, self.rules, c["max_iterations"] if max_iterations is None else max_iterations, c["threshold"] if threshold is None else threshold, rule_ids)
+        out = inference.infer(self._entities({}), self.graph.relations, self.rules, c["max_iterations"] if max_iterations is None else max_iterations, c["threshold"] if threshold is None else threshold, rule_ids)
+        self.runs.append(out)
+        return out
+
+    def explain(self, source_id: str, target_id: str | None = None) -> DataFrame:
+        """Rules and derivations of the graph's derived relations from one entity to another, or to any."""
+        return inference.explain(self.graph.relations, source_id, target_id)
 
     def apply(self, derived: DataFrame) -> int:
         """Adds derived relations; returns how many."""
@@ -235,7 +301,9 @@ class GraphEngine:
         return self.graph.relations.count() - before.count()
 
     def inference_stats(self) -> dict[str, Any]:
-        return {"rules": len(self.rules), "ids": [r.id for r in self.rules]}
+        """The rules, how often inference ran, and how many relations each rule derived in the last run."""
+        last = {r.rule_id: r["count"] for r in inference.applied(self.runs[-1], self.rules).collect()} if self.runs else {}
+        return {"rules": len(self.rules), "ids": [r.id for r in self.rules], "runs": len(self.runs), "derived": last}
 
     # Storage, merging, status
 
@@ -259,8 +327,35 @@ class GraphEngine:
     def merge(self, other: PropertyGraph) -> None:
         self.graph = self.graph.replaced(merge.merge_entities(self.graph.entities, other.entities), merge.merge_relations(self.graph.relations, other.relations))
 
-    def sync(self, ops: DataFrame, peers: DataFrame) -> DataFrame:
-        return oplog.ops_for_peer(ops, peers)
+    # Replication
+
+    def add_peers(self, new: DataFrame) -> None:
+        self.peers = oplog.register(self.peers, new)
+
+    def remove_peers(self, gone: DataFrame) -> None:
+        self.peers = None if self.peers is None else oplog.without_peers(self.peers, gone)
+
+    def receive(self, ops: DataFrame) -> DataFrame:
+        """Takes operations into the log, each once, and gives the state of every target after all of them."""
+        self.log = oplog.received(ops.limit(0), ops) if self.log is None else oplog.received(self.log, ops)
+        return oplog.fold(self.log)
+
+    def sync(self, seen: DataFrame | None = None) -> DataFrame:
+        """What each peer lacks of the log; with seen (peer_id, clock) peers' clocks are advanced first."""
+        if self.log is None or self.peers is None:
+            raise ValueError("nothing to sync: no operations or no peers")
+        if seen is not None:
+            self.peers = oplog.advance(self.peers, seen)
+        return oplog.ops_for_peer(self.log, self.peers)
+
+    def federation_status(self) -> dict[str, Any]:
+        """This node, and frames of its clock and of its peers' state."""
+        known = self.log is not None
+        return {
+            "node_id": self.config["node_id"],
+            "clock": oplog.clock_of(self.log) if known else None,
+            "peers": oplog.sync_status(self.peers, self.log) if known and self.peers is not None else self.peers,
+        }
 
     def stats(self) -> dict[str, DataFrame]:
         return {"entities": aggregate.stats(self.graph.entities), "relations": aggregate.stats(self.graph.relations)}

@@ -78,7 +78,7 @@ def relations(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
         if name == "part_supplier":
             df = df.select("l_partkey", "l_suppkey").distinct()
         if name == "vec_ring":
-            df = df.select("vec_id").crossJoin(F.broadcast(df.agg(F.count("*").alias("n"))))  # a single row
+            df = df.select("vec_id", df.agg(F.count("*")).scalar().alias("n"))
         df = df.select(
             F.expr(rid).alias("id"),
             F.expr(source).alias("source_id"),
