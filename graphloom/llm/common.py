@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.sources.scratch import folder as scratch
+
 #: ASCII white space, the only separators that the word operators know.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,21 +21,12 @@ BROADCAST_ROWS = 50_000
 PIECE = 4 << 20
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        held = sc._jsc.sc().getCheckpointDir()
-        if not held.isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-            held = sc._jsc.sc().getCheckpointDir()
-        found = held.get()
-    return found.rstrip("/")
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets Spark hand rows to Python by the thousand at most: rows here are whole texts."""
+    """Lets Spark hand rows to Python by the thousand at most: rows here are whole texts.
+
+    A setting of the session, that Spark reads when it plans an action; results are lazy, so it stays lowered. A session that
+    needs larger batches elsewhere takes a session of its own (spark.newSession()) for these operators.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:

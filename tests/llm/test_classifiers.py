@@ -71,7 +71,7 @@ def test_pairs_matter():
     n, y, texts = 3000, [], []
     for _ in range(n):
         words = [f"w{k}" for k in rng.integers(0, 40, 12)]
-        insult, group = rng.random(2) < 0.5
+        insult, group = (int(k < 0.5) for k in rng.random(2))
         words += ["blockhead"] * insult + ["foreigners"] * group
         y.append(int(insult and group))
         texts.append(" ".join(rng.permutation(words)))

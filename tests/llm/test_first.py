@@ -89,6 +89,16 @@ def test_decontamination_query(spark):
     assert got == sorted(decontaminate.brute_force(plain(spark, df), items), key=repr)
 
 
+def test_decontamination_compares_words(spark):
+    """Words of the test items and of a document that share a hash, but not their letters."""
+    from test_substrings import thue_morse
+
+    a, b = thue_morse(2048, False), thue_morse(2048, True)
+    bench = spark.createDataFrame([(1, f"x {a} y"), (2, f"p {b} q")], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"x {b} y"), (2, f"x {a.upper()} y"), (3, f"z p {b} q"), (4, f"p {a} q")], "doc_id long, text string")
+    assert {r.doc_id: r["items"] for r in decontaminate.contamination(df, bench).collect()} == {1: [], 2: ["1"], 3: ["2"], 4: []}
+
+
 def test_fm_index():
     rng = np.random.default_rng(0)
     for n, size in ((1, 1), (50, 2), (400, 5)):

@@ -2,8 +2,10 @@
 
 import re
 
+import numpy as np
 import pytest
 from conftest_llm import SF, tuples
+from pyspark.sql import functions as F
 
 from graphloom.llm import stretches, substrings
 
@@ -45,3 +47,41 @@ def test_query(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = tuples(substrings.op9_substring_dedup(spark, SF), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == sorted(((i, n, m, hashlib.sha256(k.encode()).hexdigest()) for i, n, m, k in brute(rows)), key=repr)
+
+
+def thue_morse(n, swap):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out.translate(str.maketrans("ab", "ba")) if swap else out
+
+
+def test_words_whose_hashes_collide(spark):
+    """Different words of 2,048 letters that share a polynomial hash: windows that hold them are not equal."""
+    from graphloom.llm import textbytes as tb
+
+    tail = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{thue_morse(2048, False)} {tail}"), (2, f"{thue_morse(2048, True)} {tail}"), (3, f"{thue_morse(2048, True)}  {tail}")]
+    raw = f"{thue_morse(2048, False)} {thue_morse(2048, True)}".encode()
+    h = tb.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+    assert h[0] == h[1]
+    got = {r.doc_id: r.n_removed for r in substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "int"])
+def test_ids_of_other_types(spark, docs, kind):
+    """Ids that are no longs, in their own order, null last."""
+    named = {"string": F.concat(F.lit("d"), F.col("doc_id") * 7 % 1000), "date": F.date_add(F.lit("2000-01-01").cast("date"), F.col("doc_id").cast("int")), "int": -F.col("doc_id").cast("int")}[kind]
+    df = docs.withColumn("doc_id", F.when(F.col("doc_id") % 50 != 3, named))
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    order = {i: n for n, i in enumerate(sorted({i for i, _ in rows if i is not None}))}
+    want = sorted(((n, m) for _, n, m, _ in brute([(order.get(i), t) for i, t in rows])))
+    assert sorted((r.n_words, r.n_removed) for r in substrings.substring_dedup(df).collect()) == want
+    from graphloom.llm import suffixes
+    from test_suffixes import brute as brute_bytes
+
+    want = sorted((n, m, k, sha) for _, n, m, k, sha in brute_bytes([(order.get(i), t) for i, t in rows]))
+    import hashlib
+
+    assert sorted((r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffixes.suffix_dedup(df).collect()) == want
