@@ -22,7 +22,7 @@ _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: The same for Spark's regular expressions, and before the letters become lower case.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words in a window; bytes of text in a shard; text positions between sampled suffix positions.
-WINDOW, SHARD, SAMPLE = 10, 8 << 20, 8
+WINDOW, SHARD, SAMPLE = 10, 4 << 20, 8
 #: Bytes of test items, about, whose windows are searched for in one pass over the documents.
 BLOCK_BYTES = 16 << 20
 
