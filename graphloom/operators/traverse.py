@@ -133,12 +133,15 @@ def touching(adj: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
 
 
 def _known(found: DataFrame, allowed: DataFrame) -> tuple[DataFrame, int]:
-    """Rows of found whose id is allowed, checkpointed, and how many. Few ids are sent to the entities' scans, not the other way round."""
-    if found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    """Rows of found (checkpointed) whose id is allowed, checkpointed, and how many at most.
+
+    Few ids are sent to the entities' scans, not the other way round.
+    """
+    n = found.count()
+    if n <= BROADCAST_IDS:
         # Ids of entities are unique, so what is left of them is as few.
         allowed = F.broadcast(allowed.join(F.broadcast(found.select("id")), "id", "left_semi"))
-    kept = cut(found.join(allowed, "id", "left_semi"))
-    return kept, kept.count()
+    return cut(found.join(allowed, "id", "left_semi")) if n else found, n
 
 
 def page(df: DataFrame, order: Sequence[Column | str], limit: int | None = None, offset: int = 0, default: int = 100) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: kind: (table, key, type, label, properties, tags)
 KINDS: dict[str, tuple[str, str, str, str | None, dict[str, str], list[str]]] = {
@@ -35,8 +36,16 @@ RELATIONS: dict[str, tuple[str, str, str, str, str, str, str]] = {
 }
 
 
+_schemas: dict[tuple[str, str], T.StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its schema is read from its files once in an application, as a graph reads each table many times."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def entities(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
