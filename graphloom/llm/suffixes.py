@@ -22,8 +22,8 @@ LENGTH, GRAM, LONG_GRAM = 50, 16, 40
 CELLS_PER_BYTE = 0.4
 #: Bytes of text in one suffix array; bytes that one gram's passages may have before they are dealt by whole strings.
 ARRAY_BYTES, HOT_BYTES = 4 << 20, 8 << 20
-#: Bytes of passages that a task combines at a time.
-HELD_BYTES = 48 << 20
+#: Bytes of passages that a task combines at a time; bytes of text that it looks at together, but for longer texts.
+HELD_BYTES, CHUNK = 32 << 20, 2 << 20
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +159,7 @@ def _count(cells: int, gram: int = GRAM, path: tuple = ()) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = Partial(cells)
         for batch in batches:
-            for _, _, raw, starts in tb.chunks(batch.column(0)):
+            for _, _, raw, starts in tb.chunks(batch.column(0), CHUNK):
                 c = _Chunk(raw, starts, gram, _wanted(raw, starts, path))
                 doc = np.searchsorted(starts, c.at, "right") - 1
                 _, once = np.unique(c.key ^ mixed(doc.astype(np.uint64)), return_index=True)
@@ -177,7 +177,7 @@ def _references(full) -> callable:
         held = References(by_key=True)
         for batch in batches:
             rows = batch.column(2).to_numpy()
-            for lo, hi, raw, starts in tb.chunks(batch.column(0)):
+            for lo, hi, raw, starts in tb.chunks(batch.column(0), CHUNK):
                 c = _Chunk(raw, starts)
                 keep = np.flatnonzero(sketch.repeated(c.key))
                 at, length = c.at[keep], c.length[keep]
@@ -244,7 +244,7 @@ def _passages(path: tuple) -> callable:
         for batch in batches:
             held.kind = batch.column(1).type
             rows = batch.column(2).to_numpy()
-            for lo, _, raw, starts in tb.chunks(batch.column(0)):
+            for lo, _, raw, starts in tb.chunks(batch.column(0), CHUNK):
                 c = _Chunk(raw, starts, GRAM, _wanted(raw, starts, path))
                 at, length, key = c.at, c.length, c.key.tolist()
                 doc = np.searchsorted(starts, at, "right") - 1
