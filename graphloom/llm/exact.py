@@ -17,32 +17,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     however many copies it has, and no task gets a group. Texts whose digest occurs once have nothing
     to be compared with and stay where they are.
 
-    Null text counts as empty. A null id is never the smallest unless the whole group has none, and
+    Null text counts as empty; a very long text is hashed as a whole, and leaves its task only if its digest occurs again. A null id is never the smallest unless the whole group has none, and
     then keep_id is null. Of rows that repeat an id and its text just one is kept. An empty table gives
-    an empty result; other columns of docs are not looked at. digest_bits shortens the digests
+    an empty result; other columns of docs, whatever their names, are not looked at. digest_bits shortens the digests
     by which texts are grouped, so that tests see collisions; results don't depend on it.
     """
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
-    rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("sha", F.sha2("norm", 256))
+    rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumns({"sha": F.sha2("norm", 256), "check": F.xxhash64("norm")})
     rows = rows.withColumn("digest", F.substring("sha", 1, digest_bits // 4))
-    meta = save(rows.select("doc_id", "sha", "digest", F.monotonically_increasing_id().alias("uid")))
+    meta = save(rows.select("doc_id", "sha", "check", "digest", F.monotonically_increasing_id().alias("uid")))
 
     repeated = save(meta.groupBy("digest").count().where("count > 1").select("digest"))
     local = rows.join(bounded(repeated), "digest", "left_semi").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     salted = local.groupBy("digest", "norm", "salt").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
     winners = salted.groupBy("digest", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    winners = save(winners.select("digest", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size", F.xxhash64("norm").alias("check")))
+    winners = save(winners.select("digest", F.sha2("norm", 256).alias("sha"), F.xxhash64("norm").alias("check"), "keep_id", "group_size"))
+    # Rows find their group by two hashes of the whole text: the groups themselves were told apart by the texts.
+    out = meta.join(bounded(winners), ["digest", "sha", "check"], "left")
 
-    keys = ["digest", "sha"]
-    if winners.groupBy(*keys).count().where("count > 1").isEmpty():
-        out = meta.join(bounded(winners.drop("check")), keys, "left")
-    else:  # different texts share all of sha256: tell them apart by another hash as well
-        out = save(rows.select("doc_id", "sha", "digest", F.xxhash64("norm").alias("check"), F.monotonically_increasing_id().alias("uid")))
-        out = out.join(bounded(winners), [*keys, "check"], "left")
-
-    alike = meta.groupBy("sha", "doc_id").agg(F.count("*").alias("same"), F.min("uid").alias("first")).where("same > 1")
-    alike = save(alike.select(F.col("sha").alias("sha2"), F.col("doc_id").alias("id2"), "first"))
-    out = out.join(bounded(alike), (F.col("sha") == F.col("sha2")) & F.col("doc_id").eqNullSafe(F.col("id2")), "left")
+    alike = meta.groupBy("sha", "check", "doc_id").agg(F.count("*").alias("same"), F.min("uid").alias("first")).where("same > 1")
+    alike = save(alike.select(F.col("sha").alias("sha2"), F.col("check").alias("check2"), F.col("doc_id").alias("id2"), "first"))
+    out = out.join(bounded(alike), (F.col("sha") == F.col("sha2")) & (F.col("check") == F.col("check2")) & F.col("doc_id").eqNullSafe(F.col("id2")), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id",

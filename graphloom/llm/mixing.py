@@ -123,7 +123,8 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text has size 0, and so is never taken; a null source is a source of its own, and comes last.
     Rows that repeat an id share its hash, so a threshold takes all or none. The same rows in any order
-    give the same mix. An empty table gives an empty result. Other columns of docs are not looked at.
+    give the same mix. A very long text is a document like any other, counted as a whole. An empty table gives an empty result.
+    Other columns of docs, whatever their names, are not looked at.
     """
     sized = save(with_sizes(docs, id_col, text_col, source_col).select(F.col(id_col).alias("doc_id"), "_source", "_size", "_hash"))
     plan = mixing_plan(sized, weights)
