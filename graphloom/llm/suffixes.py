@@ -23,7 +23,7 @@ CELLS_PER_BYTE = 0.4
 #: Bytes of text in one suffix array; bytes that one gram's passages may have before they are dealt by whole strings.
 ARRAY_BYTES, HOT_BYTES = 4 << 20, 8 << 20
 #: Bytes of passages that a task combines at a time; bytes of text that it looks at together, but for longer texts.
-HELD_BYTES, CHUNK = 32 << 20, 2 << 20
+HELD_BYTES, CHUNK = 32 << 20, 3 << 20
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
