@@ -75,17 +75,45 @@ def _entities_of(entities: DataFrame, node: Node) -> DataFrame | None:
     return rows.select(F.col("id").alias(f"{node.var}_id"))
 
 
+#: Entities of an alias that are paired with as many others of it at a time.
+BLOCK = 1024
+#: Known triples that are sent to all tasks: three short strings each.
+FEW_TRIPLES = 100_000
+
+
 def _alias_links(entities: DataFrame, pairs: bool) -> DataFrame:
-    """a, b: entities with an alias in common, a < b.
+    """a, b: entities with an alias in common, a < b, each two once.
 
     Each entity of an alias is tied to the least one that has it: as many links as entities, and whoever shares an alias
     meets in the least one. With pairs, every pair of an alias, which for a common one is the square of its entities.
     """
+    if pairs:
+        return _alias_pairs(entities)
     one = entities.select("id", F.explode(F.array_distinct("aliases")).alias("alias"))
-    first = one.select(F.col("id").alias("a"), "alias") if pairs else one.groupBy("alias").agg(F.min("id").alias("a"))
+    first = one.groupBy("alias").agg(F.min("id").alias("a"))
     return first.join(one.select(F.col("id").alias("b"), "alias"), "alias").where("a < b").select("a", "b").distinct()
 
 
+def _alias_pairs(entities: DataFrame) -> DataFrame:
+    """All pairs of each alias, as they are met: pairs are neither shuffled nor sorted nor held.
+
+    The entities of an alias are dealt by hash into parts of about BLOCK, and a task takes two parts at a time. Two entities that
+    share several aliases are a pair at the least of these only, so there is nothing to make distinct afterwards.
+    """
+    all_of_id = F.filter(F.array_distinct(F.flatten(F.collect_list("aliases"))), lambda x: x.isNotNull())
+    one = entities.where("id IS NOT NULL").groupBy("id").agg(all_of_id.alias("aliases")).select("id", "aliases", F.explode("aliases").alias("alias"))
+    parts = one.groupBy("alias").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
+    one = one.join(parts, "alias").select("alias", "parts", "id", F.filter("aliases", lambda x: x < F.col("alias")).alias("lesser"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    keys = ["alias", "i", "j"]
+    n = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = one.select("alias", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), F.col("id").alias("x"), F.col("lesser").alias("x_lesser"))
+    right = one.select("alias", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), F.col("id").alias("y"), F.col("lesser").alias("y_lesser"))
+    # A fixed number of partitions: few rows make very many pairs, so merging small partitions would leave one task with all.
+    met = left.repartition(n, *keys).join(right.repartition(n, *keys).hint("merge"), keys)
+    new = (F.size("x_lesser") == 0) | (F.size("y_lesser") == 0) | ~F.arrays_overlap("x_lesser", "y_lesser")
+    return met.where(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & new).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def matches(
     entities: DataFrame,
     relations: DataFrame,
@@ -170,30 +198,49 @@ def _derive(entities: DataFrame, relations: DataFrame, rule: Rule, place: int, p
     )
 
 
+def _once_per_triple(rule: Rule) -> bool:
+    """Whether no two matches of a rule derive one triple: its two variables are those tied by an alias."""
+    p = rule.pattern
+    return bool(p.same_alias) and not p.edges and {n.var for n in p.nodes} == set(p.same_alias) == {rule.source, rule.target}
+
+
 def infer(entities: DataFrame, relations: DataFrame, rules: Sequence[Rule], max_iterations: int = 10, threshold: float = 0.5, rule_ids: Sequence[str] | None = None) -> DataFrame:
     """Derived relations: source_id, type, target_id, confidence, rule_id, derivation, iteration.
 
     A triple that exists is not derived; of several derivations the first rule's, then the least match, counts.
     Each iteration matches against all that is known; after the first, only matches that need a triple of the last
     iteration can be new, so a rule is matched once for each relation of its pattern, with that one taken from the
-    last iteration's triples. Ends when nothing is new, or after max_iterations.
+    last iteration's triples. Ends when nothing is new, or after max_iterations. Rules without relations in their patterns
+    need one iteration, and if there are no others its triples, which nothing reads again, are not written but left lazy.
     """
     chosen = [(i, r) for i, r in enumerate(rules) if (rule_ids is None or r.id in rule_ids) and confidence(r) >= threshold]
     spark = entities.sparkSession
     empty = "source_id string, type string, target_id string, confidence double, rule_id string, derivation struct<place:int,entities:array<string>>, iteration int"
     if not chosen:
         return spark.createDataFrame([], empty)
-    known = cut(relations.select(*TRIPLE).distinct())
+    types = [r.type for _, r in chosen]
+    again = any(r.pattern.edges for _, r in chosen)
+    known = cut((relations if again else relations.where(F.col("type").isin(types))).select(*TRIPLE).distinct())
     derived, delta = None, known
     for iteration in range(1, max_iterations + 1):
-        out = None
+        out, single = None, None
         for place, rule in chosen:
             for rows in _new_matches(entities, known, delta, rule, place, iteration):
-                out = rows if out is None else out.unionByName(rows)
-        if out is None:
+                if _once_per_triple(rule) and types.count(rule.type) == 1:
+                    single = rows if single is None else single.unionByName(rows)
+                else:
+                    out = rows if out is None else out.unionByName(rows)
+        if out is None and single is None:
             break
-        best = out.groupBy(*TRIPLE).agg(F.min(F.struct("how", "rule_id", "confidence")).alias("b"))
-        fresh = best.join(known, TRIPLE, "left_anti").select(*TRIPLE, F.col("b.confidence").alias("confidence"), F.col("b.rule_id").alias("rule_id"), F.col("b.how").alias("derivation"), F.lit(iteration).alias("iteration"))
+        told = lambda df: df.select(*TRIPLE, F.col("b.confidence").alias("confidence"), F.col("b.rule_id").alias("rule_id"), F.col("b.how").alias("derivation"), F.lit(iteration).alias("iteration"))  # noqa: B023, E731
+        fresh = None
+        if out is not None:
+            fresh = told(out.groupBy(*TRIPLE).agg(F.min(F.struct("how", "rule_id", "confidence")).alias("b")).join(known, TRIPLE, "left_anti"))
+        if single is not None:
+            single = told(_unknown(single, known, types).select(*TRIPLE, F.struct("how", "rule_id", "confidence").alias("b")))
+            fresh = single if fresh is None else fresh.unionByName(single)
+        if not again:
+            return fresh
         fresh = cut(fresh)
         if fresh.isEmpty():
             break
@@ -203,6 +250,13 @@ def infer(entities: DataFrame, relations: DataFrame, rules: Sequence[Rule], max_
     return spark.createDataFrame([], empty) if derived is None else derived
 
 
+def _unknown(rows: DataFrame, known: DataFrame, types: Sequence[str]) -> DataFrame:
+    """Rows whose triple is not known. Where few triples of their types are known, which is counted, rows stay where they are."""
+    met = known.where(F.col("type").isin(types))
+    n = met.count()
+    return rows.join(F.broadcast(met) if n <= FEW_TRIPLES else met, TRIPLE, "left_anti") if n else rows
+
+
 def _new_matches(entities: DataFrame, known: DataFrame, delta: DataFrame, rule: Rule, place: int, iteration: int) -> list[DataFrame]:
     if iteration == 1:
         return [_derive(entities, known, rule, place)]

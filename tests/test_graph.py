@@ -111,6 +111,23 @@ def test_inference(spark):
     assert inference.infer(many.entities, many.relations, [same]).count() == 6
 
 
+def test_all_pairs_of_an_alias_are_not_shuffled(spark, monkeypatch):
+    """Parts of an alias pair by pair, each two entities once however many aliases they share; known triples are left out."""
+    monkeypatch.setattr(inference, "BLOCK", 4)
+    names = [f"n{i:02}" for i in range(40)]
+    aliases = {n: [x for x in ("all", "odd" if i % 2 else "even", f"own{i % 7}", None) if i != 39] for i, n in enumerate(names)}
+    g = graph(spark, names, [("n00", "n01", "same_as"), ("n02", "n03", "other")], aliases=aliases)
+    rule = inference.built_in()[2]
+    rule.options["alias_pairs"] = True
+    twice = g.entities.unionByName(g.entities.where("id < 'n10'"))
+    found = inference.infer(twice, g.relations, [rule])
+    got = [(r.source_id, r.target_id) for r in found.collect()]
+    assert sorted(got) == sorted((a, b) for a in names[:-1] for b in names[:-1] if a < b and (a, b) != ("n00", "n01"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join Inner")]
+    assert "Aggregate" not in above and "Repartition" not in above and "LogicalRDD" in plan
+
+
 def test_three_step_rule_reaches_the_fixpoint(spark):
     """A rule of three relations, whose result it needs itself: each iteration takes one of them from the last."""
     pattern = inference.Pattern(tuple(map(inference.Node, "abcd")), (inference.Edge("a", "r", "b"), inference.Edge("b", "r", "c"), inference.Edge("c", "r", "d")))
