@@ -13,6 +13,8 @@ from graphloom.sources.scratch import cut
 
 #: Nodes of a frontier that are broadcast: their ids, positions and paths take some hundred bytes each.
 BROADCAST_IDS = 20_000
+#: Nodes whose ids alone are broadcast: some 130 bytes each.
+NEAR_IDS = 1_500_000
 Condition = Sequence[Filter] | Column | Callable[[DataFrame], Column] | None
 
 
@@ -20,7 +22,7 @@ Condition = Sequence[Filter] | Column | Callable[[DataFrame], Column] | None
 class Traversal:
     """What a traversal found.
 
-    nodes: id, depth, pos (orders nodes as a queue would reach them), path (ids from a start).
+    nodes: id, depth, pos (orders nodes as a queue would reach them), path (ids from a start); id and depth of an unordered one.
     edges: relation id, source_id, target_id, type, of every usable relation of an expanded node, also to nodes
     that were reached before, were filtered, or don't exist; once per direction.
     """
@@ -85,14 +87,17 @@ def traverse(
     relation_types: Sequence[str] | None = None,
     node_filter: Condition = None,
     edge_filter: Condition = None,
+    ordered: bool = True,
 ) -> Traversal:
     """Nodes within max_depth relations of the starts.
 
     A node that the filter refuses is neither returned nor expanded. Of several ways to a node the first in queue
     order counts. That order is the order of the list of relations (by seq, then id) on the way, so it is kept as
     an array and the least one per node is found by a plain aggregate. The frontier and the visited ids, not entities,
-    go through the loop; each level is checkpointed, so plans stay small. A frontier of at most BROADCAST_IDS nodes is sent
-    to the scans of relations and entities, which keep just what it touches before anything is shuffled.
+    go through the loop; each level is checkpointed, so plans stay small. The ids of a frontier of at most NEAR_IDS nodes are sent
+    to the scans of relations and entities, which keep just what it touches before anything is shuffled; at most BROADCAST_IDS
+    nodes are sent with their ways. Unordered, nodes are the same ones at the same depth without pos and path, and of a
+    level's relations nothing but the distinct ids they lead to is shuffled.
     """
     spark = entities.sparkSession
     usable = relations.where(F.col("type").isin(list(relation_types))) if relation_types else relations
@@ -107,14 +112,20 @@ def traverse(
     first = F.concat(F.format_string("%09d", F.col("at")), F.lit("|"), F.col("id"))
     frontier = starts.select("id", F.lit(0).alias("depth"), F.array(first).alias("pos"), F.array("id").alias("path"))
     frontier, n = _known(cut(frontier) if isinstance(start_ids, DataFrame) else frontier, allowed)
+    if not ordered:
+        frontier = frontier.select("id", "depth")
     nodes, n_expanded = frontier, n
     for depth in range(1, max_depth + 1 if n else 1):
-        key = F.concat(F.format_string("%019d", F.col("seq")), F.lit("|"), F.col("rel_id"))
-        few = n <= BROADCAST_IDS
-        near = touching(adj, frontier, few).join(F.broadcast(frontier) if few else frontier, F.col("src") == frontier["id"])
-        steps = near.select(F.col("dst").alias("id"), F.struct(F.concat("pos", F.array(key)).alias("pos"), F.concat("path", F.array("dst")).alias("path")).alias("way"))
-        found = steps.groupBy("id").agg(F.min("way").alias("way"))
-        found = cut(found.join(nodes.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), F.col("way.pos").alias("pos"), F.col("way.path").alias("path")))
+        near = touching(adj, frontier, n <= NEAR_IDS)
+        if ordered:
+            key = F.concat(F.format_string("%019d", F.col("seq")), F.lit("|"), F.col("rel_id"))
+            near = near.join(F.broadcast(frontier) if n <= BROADCAST_IDS else frontier, F.col("src") == frontier["id"])
+            steps = near.select(F.col("dst").alias("id"), F.struct(F.concat("pos", F.array(key)).alias("pos"), F.concat("path", F.array("dst")).alias("path")).alias("way"))
+            found = steps.groupBy("id").agg(F.min("way").alias("way"))
+        else:
+            found = near.select(F.col("dst").alias("id")).distinct()
+        ways = [F.col("way.pos").alias("pos"), F.col("way.path").alias("path")] if ordered else []
+        found = cut(found.join(nodes.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), *ways))
         frontier, n = _known(found, allowed)
         if not n:
             break
@@ -122,7 +133,7 @@ def traverse(
         if depth < max_depth:
             n_expanded += n
     expanded = nodes.where(F.col("depth") < max_depth).select("id")
-    edges = touching(adj, expanded, n_expanded <= BROADCAST_IDS).select(F.col("rel_id").alias("id"), "source_id", "target_id", "type", "direction")
+    edges = touching(adj, expanded, n_expanded <= NEAR_IDS).select(F.col("rel_id").alias("id"), "source_id", "target_id", "type", "direction")
     return Traversal(nodes, edges)
 
 
@@ -138,7 +149,7 @@ def _known(found: DataFrame, allowed: DataFrame) -> tuple[DataFrame, int]:
     Few ids are sent to the entities' scans, not the other way round.
     """
     n = found.count()
-    if n <= BROADCAST_IDS:
+    if n <= NEAR_IDS:
         # Ids of entities are unique, so what is left of them is as few.
         allowed = F.broadcast(allowed.join(F.broadcast(found.select("id")), "id", "left_semi"))
     return cut(found.join(allowed, "id", "left_semi")) if n else found, n

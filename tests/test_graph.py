@@ -111,6 +111,17 @@ def test_inference(spark):
     assert inference.infer(many.entities, many.relations, [same]).count() == 6
 
 
+def test_frontier_too_large_for_its_ways_still_reaches_the_scans(spark, monkeypatch):
+    """Relations are shuffled only after the ids of the frontier have been looked up in them."""
+    monkeypatch.setattr(traverse, "BROADCAST_IDS", 1)
+    g = graph(spark, "abcde", [("a", "b", "r"), ("a", "c", "r"), ("b", "d", "r"), ("c", "e", "r")])
+    found = traverse.traverse(g.entities, g.relations, ["a"], 2)
+    assert sorted((r.id, r.depth) for r in found.nodes.collect()) == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 2)]
+    plan = found.edges._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert found.edges.count() == 4
+
+
 def test_all_pairs_of_an_alias_are_not_shuffled(spark, monkeypatch):
     """Parts of an alias pair by pair, each two entities once however many aliases they share; known triples are left out."""
     monkeypatch.setattr(inference, "BLOCK", 4)
