@@ -445,7 +445,7 @@ def traverse_depth1(spark, d):
 @query(bfs_sql(["nation:3"], 3, "SELECT id, depth FROM N", _BOTH, "type <> 'person' OR p_acctbal > 3000"))
 def traverse_node_filter(spark, d):
     rich = lambda _: (F.col("type") != "person") | (F.col("p_acctbal") > 3000)
-    return traverse.traverse(entities(spark, d), relations(spark, d), ["nation:3"], 3, ["both"], node_filter=rich).nodes.select("id", "depth")
+    return traverse.traverse(entities(spark, d), relations(spark, d), ["nation:3"], 3, ["both"], node_filter=rich, ordered=False).nodes.select("id", "depth")
 
 
 _HEAVY = "SELECT source_id AS src, target_id AS dst, id AS rel_id, seq, source_id, target_id, 'outbound' AS direction FROM R WHERE weight >= 20 OR type <> 'references'"

@@ -111,6 +111,22 @@ def test_inference(spark):
     assert inference.infer(many.entities, many.relations, [same]).count() == 6
 
 
+@pytest.mark.parametrize("near", [0, 2, 1000])
+def test_unordered_traversal_finds_the_same_nodes(spark, monkeypatch, near):
+    rng = random.Random(7)
+    names = [f"n{i}" for i in range(30)]
+    g = graph(spark, names, [(rng.choice(names), rng.choice([*names, "nowhere"]), "r") for _ in range(50)])
+    monkeypatch.setattr(traverse, "BROADCAST_IDS", min(near, 1))
+    monkeypatch.setattr(traverse, "NEAR_IDS", near)
+    args = (g.entities, g.relations, ["n0", "n1", "nowhere"], 3, ["both"])
+    plain = traverse.traverse(*args, node_filter=F.col("id") != "n5", ordered=False)
+    full = traverse.traverse(*args, node_filter=F.col("id") != "n5")
+    assert plain.nodes.columns == ["id", "depth"]
+    pairs = lambda found: sorted((r.id, r.depth) for r in found.nodes.collect())
+    assert pairs(plain) == pairs(full) and len(pairs(full)) > 10
+    assert sorted(map(tuple, plain.edges.collect())) == sorted(map(tuple, full.edges.collect()))
+
+
 def test_frontier_too_large_for_its_ways_still_reaches_the_scans(spark, monkeypatch):
     """Relations are shuffled only after the ids of the frontier have been looked up in them."""
     monkeypatch.setattr(traverse, "BROADCAST_IDS", 1)
