@@ -125,10 +125,14 @@ def of_json(lines: DataFrame, like: DataFrame) -> DataFrame:
     return lines.select(F.from_json("value", like.schema).alias("r")).select("r.*")
 
 
+#: Rows of a file of a bundle at most: a gzip file is read by one task.
+BUNDLE_ROWS = 1_000_000
+
+
 def export_bundle(graph: PropertyGraph, path: str) -> None:
-    """entities and relations as JSON lines, and a manifest."""
-    graph.entities.write.mode("overwrite").json(f"{path}/entities")
-    graph.relations.write.mode("overwrite").json(f"{path}/relations")
+    """entities and relations as JSON lines in gzip files, as each line tells all names again, and a manifest."""
+    for part in ("entities", "relations"):
+        getattr(graph, part).write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", BUNDLE_ROWS).json(f"{path}/{part}")
     spark = graph.entities.sparkSession
     spark.range(1).select(F.lit("1.0").alias("version"), F.current_timestamp().alias("exported_at")).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 

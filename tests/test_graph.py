@@ -138,6 +138,21 @@ def test_frontier_too_large_for_its_ways_still_reaches_the_scans(spark, monkeypa
     assert found.edges.count() == 4
 
 
+def test_bundle_is_compressed_and_read_back(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(store, "BUNDLE_ROWS", 300)
+    names = [f"n{i}" for i in range(1000)]
+    g = graph(spark, names, [(names[i], names[i * 7 % 1000], "r") for i in range(1000)], props={"n1": {"a": 'quote " and\nline'}}, vectors={"n2": [0.1, 2.0]}, aliases={"n3": ["x", "y"]})
+    store.export_bundle(g, str(tmp_path))
+    for part in ("entities", "relations"):
+        files = list((tmp_path / part).glob("part-*"))
+        whole = sum(len(r.value) for r in store.as_json(getattr(g, part)).collect())
+        assert len(files) >= 4 and all(f.name.endswith(".json.gz") for f in files)
+        assert sum(f.stat().st_size for f in files) * 5 < whole
+    back = store.import_bundle(spark, str(tmp_path), g)
+    rows = lambda df: sorted(df.collect(), key=lambda r: r.id)
+    assert rows(back.entities) == rows(g.entities) and rows(back.relations) == rows(g.relations)
+
+
 def test_all_pairs_of_an_alias_are_not_shuffled(spark, monkeypatch):
     """Parts of an alias pair by pair, each two entities once however many aliases they share; known triples are left out."""
     monkeypatch.setattr(inference, "BLOCK", 4)
