@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +59,7 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.
     direct = step[nearest] > 0
 
     at = np.flatnonzero(direct)
-    at = at[np.lexsort([key(at, k) for k in reversed(range(len(cuts)))])]
+    at = _in_order(at, key, len(cuts))
     ends = np.searchsorted(text[at], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     # The empty suffix comes first of all; the last byte is the one before it.
@@ -90,13 +90,42 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.
     for k, c in enumerate(cuts):
         many = min(per, depth - c)
         unlike = key(sa[live], k) ^ key(sa[live - 1], k)
-        shared[live] += many
+        like = np.full(len(live), many, np.int8)
         for symbols in range(1, many + 1):  # less by one for each symbol from the first unlike one on
-            shared[live] -= (unlike >> np.uint64(bits * (many - symbols))) != 0
+            like -= (unlike >> np.uint64(bits * (many - symbols))) != 0
+        shared[live] += like
         live = live[unlike == 0]
     return sa, shared
 
 
+def _in_order(at: np.ndarray, key: Callable[[np.ndarray, int], np.ndarray], many: int) -> np.ndarray:
+    """Places in the order of their `many` keys, equal ones ascending; a key is looked at only where those before are equal."""
+    if len(at) < 2:
+        return at
+    first = key(at, 0)
+    order = np.argsort(first)
+    at, first = at[order], first[order]
+    group = np.concatenate(([0], np.cumsum(first[1:] != first[:-1])))
+    tied = np.arange(len(at))
+    for k in range(1, many + 1):
+        # Places of groups of one are where they belong.
+        alone = np.bincount(group)[group] == 1
+        tied, group = tied[~alone], group[~alone]
+        if not len(tied):
+            break
+        here = at[tied]
+        value = key(here, k) if k < many else here
+        order = np.argsort(value)
+        value = value[order]
+        rank = np.empty(len(here), np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(value[1:] != value[:-1])))
+        both = group << 32 | rank
+        order = np.argsort(both)
+        at[tied], both = here[order], both[order]
+        group = np.concatenate(([0], np.cumsum(both[1:] != both[:-1])))
+    return at
+
+
 def _gram_hashes(part: np.ndarray, gram: int) -> np.ndarray:
     words = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
     n = len(part) - gram + 1
@@ -109,17 +138,20 @@ def _gram_hashes(part: np.ndarray, gram: int) -> np.ndarray:
 class _Chunk:
     """Strings of LENGTH bytes of some rows' texts (with wanted, of those that it marks), in runs that have one gram of least hash."""
 
-    def __init__(self, raw: np.ndarray, starts: np.ndarray, gram: int = GRAM, wanted: np.ndarray | None = None):
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, gram: int = GRAM, wanted: np.ndarray | None = None, least: np.ndarray | None = None):
         n = len(raw) - LENGTH + 1
         self.n = max(0, n)
         self.at = self.length = np.empty(0, np.int64)
         self.key = np.empty(0, np.uint64)
+        self.least = least
         if n < 1 or wanted is not None and not wanted.any():
             return
-        least = np.empty(n, np.uint64)
+        known = least is not None
+        if not known:
+            self.least = least = np.empty(n, np.uint64)
         for lo in range(0, n, tb.SLICE):
             hi = min(n, lo + tb.SLICE)
-            if wanted is None or wanted[lo:hi].any():
+            if not known and (wanted is None or wanted[lo:hi].any()):
                 least[lo:hi] = sliding_min(_gram_hashes(np.ascontiguousarray(raw[lo : hi + LENGTH - 1]), gram), LENGTH - gram + 1)
         size = np.diff(starts)
         first = starts[:-1][size >= LENGTH]
@@ -146,13 +178,17 @@ class _Chunk:
         return np.cumsum(edge[:-1], dtype=np.int8) > 0
 
 
-def _wanted(raw: np.ndarray, starts: np.ndarray, path: tuple) -> np.ndarray | None:
-    """The strings whose least gram is known to each sketch of the path, a sequence of (bytes of grams, broadcast sketch)."""
-    wanted = None
+def _wanted(raw: np.ndarray, starts: np.ndarray, path: tuple) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """The strings whose least gram is known to each sketch of the path, a sequence of (bytes of grams, broadcast sketch).
+
+    And the least hashes of the first one's grams, which are those of all strings.
+    """
+    wanted = least = None
     for gram, sketch in path:
         c = _Chunk(raw, starts, gram, wanted)
+        least = c.least if wanted is None else least
         wanted = c.strings(sketch.value.repeated(c.key))
-    return wanted
+    return wanted, least
 
 
 def _count(cells: int, gram: int = GRAM, path: tuple = ()) -> callable:
@@ -160,7 +196,7 @@ def _count(cells: int, gram: int = GRAM, path: tuple = ()) -> callable:
         part = Partial(cells)
         for batch in batches:
             for _, _, raw, starts in tb.chunks(batch.column(0), CHUNK):
-                c = _Chunk(raw, starts, gram, _wanted(raw, starts, path))
+                c = _Chunk(raw, starts, gram, _wanted(raw, starts, path)[0])
                 doc = np.searchsorted(starts, c.at, "right") - 1
                 _, once = np.unique(c.key ^ mixed(doc.astype(np.uint64)), return_index=True)
                 yield from partial_rows(part.add(c.key[once]))
@@ -245,7 +281,7 @@ def _passages(path: tuple) -> callable:
             held.kind = batch.column(1).type
             rows = batch.column(2).to_numpy()
             for lo, _, raw, starts in tb.chunks(batch.column(0), CHUNK):
-                c = _Chunk(raw, starts, GRAM, _wanted(raw, starts, path))
+                c = _Chunk(raw, starts, GRAM, *_wanted(raw, starts, path))
                 at, length, key = c.at, c.length, c.key.tolist()
                 doc = np.searchsorted(starts, at, "right") - 1
                 ids = batch.column(1).take(pa.array(lo + doc)).to_pylist()

@@ -59,3 +59,30 @@ def test_suffix_array():
         heads = [raw[i : i + 20] for i in sa]
         assert heads == sorted(heads)
         assert shared.tolist() == [0] + [len(os.path.commonprefix([a, b])) for a, b in zip(heads, heads[1:])]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_later_keys_are_read_where_earlier_ones_are_equal(n):
+    rng, read = np.random.default_rng(n), []
+    keys = [rng.integers(0, top, 2000, dtype=np.uint64) for top in (1 << 40, 3, 2)]
+    keys[0][::2] %= np.uint64(40)
+    at = np.sort(rng.choice(2000, n, replace=False))
+
+    def key(places, k):
+        read.append((k, len(places)))
+        return keys[k][places]
+
+    assert np.array_equal(suffixes._in_order(at, key, 3), at[np.lexsort([k[at] for k in reversed(keys)])])
+    assert all(many <= (keys[0][at] < 40).sum() for k, many in read if k)
+
+
+def test_least_grams_of_a_chunk_are_hashed_once(monkeypatch):
+    seen, hashes = [], suffixes._gram_hashes
+    monkeypatch.setattr(suffixes, "_gram_hashes", lambda part, gram: seen.append(gram) or hashes(part, gram))
+    raw, starts = np.random.default_rng(1).integers(97, 123, 500, dtype=np.uint8), np.array([0, 200, 500])
+    every = type("Sketch", (), {"repeated": staticmethod(lambda keys: np.ones(len(keys), bool))})
+    path = tuple((g, type("Sent", (), {"value": every})) for g in (suffixes.GRAM, suffixes.LONG_GRAM))
+    c = suffixes._Chunk(raw, starts, suffixes.GRAM, *suffixes._wanted(raw, starts, path))
+    plain = suffixes._Chunk(raw, starts)
+    assert seen == [suffixes.GRAM, suffixes.LONG_GRAM, suffixes.GRAM]
+    assert np.array_equal(c.at, plain.at) and np.array_equal(c.key, plain.key) and np.array_equal(c.length, plain.length)
